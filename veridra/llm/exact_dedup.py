@@ -106,8 +106,8 @@ def duplicate_slots(docs: DataFrame, text_col: str, bitmap_bits: int = BITMAP_BI
     return whole, owners, slots
 
 
-def _marked(docs: DataFrame, text_col: str, bitmap_bits: int) -> tuple[DataFrame, str, str, str]:
-    """``docs`` with its row number, fingerprint and whether it is a suspect. Null texts are empty."""
+def _marked(docs: DataFrame, text_col: str, bitmap_bits: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with its fingerprint and whether it is a suspect. Null texts are empty."""
     whole, owners, slots = duplicate_slots(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), "t", bitmap_bits)
     sent = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
 
@@ -120,25 +120,24 @@ def _marked(docs: DataFrame, text_col: str, bitmap_bits: int) -> tuple[DataFrame
         bits = np.frombuffer(sent.value, np.uint8)
         return pd.Series((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
-    row, h, s = (fresh(docs, x) for x in ("row", "fingerprint", "suspect"))
+    h, s = (fresh(docs, x) for x in ("fingerprint", "suspect"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn(row, F.monotonically_increasing_id()).withColumn(h, _fingerprint(text)).withColumn(s, suspect(F.col(h))), row, h, s
+    return docs.withColumn(h, _fingerprint(text)).withColumn(s, suspect(F.col(h))), h, s
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
-    Texts are equal when their bytes are; null counts as empty. The row with the largest id stays; of
-    rows repeated with that id too, the last one read. A null id is smaller than any other. Other
-    columns are not read. An empty table gives no rows. The input must read the same twice (files or
-    a checkpoint), as must any input of which Spark may run a task again.
+    Texts are equal when their bytes are; null counts as empty. The row with the largest id stays.
+    Rows repeated with id and text are one document: each is returned, with the same verdict. A null
+    id is smaller than any other. Other columns are not read. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    marked, row, h, s = _marked(plain, "text", bitmap_bits)
-    rows = marked.select("doc_id", F.col(row).alias("row"), F.col(h).alias("h"), F.sha2(F.col("text"), 256).alias("text_sha256"), F.col(s).alias("suspect"), "text")
+    marked, h, s = _marked(plain, "text", bitmap_bits)
+    rows = marked.select("doc_id", F.col(h).alias("h"), F.sha2(F.col("text"), 256).alias("text_sha256"), F.col(s).alias("suspect"), "text")
     groups = (
-        rows.filter("suspect").groupBy("h", "text_sha256", "text").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("n"))
+        rows.filter("suspect").groupBy("h", "text_sha256", "text").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
         # of texts that the bytes tell apart, no two may share both hashes, by which rows find their group
         .groupBy("h", "text_sha256").agg(F.max("last").alias("last"), F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
         .select("h", "text_sha256", "last", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")).cast("long")).alias("n"))
@@ -146,9 +145,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     joined = rows.drop("text", "suspect").join(groups, ["h", "text_sha256"], "left")
     return joined.select(
         "doc_id",
-        F.when(F.col("n").isNotNull(), F.col("last.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.when(F.col("n").isNotNull(), F.col("last")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("n").isNull() | (F.col("last.row") == F.col("row"))).alias("kept"),
+        (F.col("n").isNull() | F.col("last").eqNullSafe(F.col("doc_id"))).alias("kept"),
         "text_sha256",
     )
 
@@ -156,15 +155,15 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``decisions``.
 
-    Rows that are no suspects pass through without a shuffle.
+    Of rows repeated with id and text one stays, that with the largest other columns. Rows that are no suspects pass through without a shuffle.
     """
-    marked, row, h, s = _marked(docs, text_col, bitmap_bits)
+    marked, h, s = _marked(docs, text_col, bitmap_bits)
     text, last = fresh(marked, "text"), fresh(marked, "last")
     alone = marked.filter(~F.col(s)).select(docs.columns)
     others = [c for c in docs.columns if c != text_col]
     kept = (
         marked.filter(F.col(s)).withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        .groupBy(h, text).agg(F.max(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).isNull().alias("null"), F.struct(*[F.col(c) for c in others]).alias("others"))).alias(last))
+        .groupBy(h, text).agg(F.max(F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("null"), F.struct(*[F.col(c) for c in others]).alias("others"))).alias(last))
         .select(*[F.when(F.col(f"{last}.null"), F.lit(None)).otherwise(F.col(text)).alias(c) if c == text_col else F.col(f"{last}.others").getField(c).alias(c) for c in docs.columns])
     )
     return alone.unionByName(kept)

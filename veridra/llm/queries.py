@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veridra.llm import exact_dedup, packing
+from veridra.llm import byte_bpe, exact_dedup, packing, quality, substring_dedup
 from veridra.llm.common import documents
 
 
@@ -18,11 +22,43 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = _tokenizer("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        for batch in batches:
+            sums = [pa.array([sha256(x).hexdigest() for x in c.cast(pa.binary()).to_pylist()], pa.string()) for c in (batch.column(3), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in batch.column(1).to_pylist()], pa.int64()), *sums], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_packing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"), counts=("n_words", "n_removed"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([sha256(b" ".join((t or b"").split())).hexdigest() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_byte_bpe, op6_quality_rules, op9_packing, op10_substring_dedup)}
 
 SQL = {
     "op1_exact_dedup": """
