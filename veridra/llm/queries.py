@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridra.llm import byte_bpe, exact_dedup, packing, quality, substring_dedup
-from veridra.llm.common import documents
+from veridra.llm import byte_bpe, exact_dedup, packing, quality, substring_dedup, toxicity
+from veridra.llm.common import crc_mod, documents
 
 
 def _tokenizer(name: str) -> str:
@@ -22,6 +22,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.train(docs, labels.filter(crc_mod(F.col("doc_id"), 4) != 2))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_byte_bpe, op6_quality_rules, op9_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_byte_bpe, op6_quality_rules, op9_packing, op10_substring_dedup)}
 
 SQL = {
     "op1_exact_dedup": """
