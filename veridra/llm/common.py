@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import zstandard
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 #: Bytes 0x20 and 0x09 to 0x0D separate words; this is also what ``bytes.split()`` does.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
-_serial = itertools.count()
+#: Bits of a bounded filter: 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -37,10 +43,91 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read again: its lineage is cut, and a lost
+    executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/veridra-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def owner_of(h: np.ndarray, owners: int) -> np.ndarray:
+    """The owner of each 64-bit hash: equal ranges of its high half."""
+    return ((h >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+
+
+def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of each 64-bit hash in its owner's bitmap, by its low half."""
+    return (((h & np.uint64(0xFFFFFFFF)) * np.uint64(slots)) >> np.uint64(32)).astype(np.int64)
+
+
+class Bitmap:
+    """A set of 64-bit hashes as owners' bitmaps one after another: of a fixed size whatever their
+    number, so that it can be broadcast. It may hold hashes that were not put in, never the reverse."""
+
+    def __init__(self, spark: SparkSession, bits: int):
+        self.owners = partitions(spark)
+        self.slots = max(8, bits // self.owners // 8 * 8)
+
+    def gathered(self, spark: SparkSession, parts: DataFrame) -> Bitmap:
+        """parts: owner and bits, the compressed bitmap of each."""
+        size = self.slots // 8
+        whole = np.zeros(self.owners * size, np.uint8)
+        for owner, bits in parts.toLocalIterator():
+            whole[owner * size : (owner + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(bits)), np.uint8)
+        self.sent = spark.sparkContext.broadcast(whole.tobytes())
+        return self
+
+    def column(self, h: Column) -> Column:
+        """Whether the hash may be in the set."""
+        sent, owners, slots = self.sent, self.owners, self.slots
+
+        @pandas_udf("boolean")
+        def held(h):
+            import pandas as pd
+
+            u = h.to_numpy().view(np.uint64)
+            at = owner_of(u, owners).astype(np.int64) * slots + slot_of(u, slots)
+            return pd.Series((np.frombuffer(sent.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+        return held(h)
+
+
+def packed_bits(h: np.ndarray, slots: int) -> bytes:
+    bits = np.zeros(slots, bool)
+    bits[slot_of(h, slots)] = True
+    return zstandard.ZstdCompressor().compress(np.packbits(bits).tobytes())
+
+
+def bitmap_of(ids: DataFrame, bits: int = FILTER_BITS) -> Bitmap:
+    """The hashes (xxhash64) of the one column of ``ids``."""
+    spark = ids.sparkSession
+    made = Bitmap(spark, bits)
+    owners, slots = made.owners, made.slots
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            own = owner_of(h, owners).astype(np.int64)
+            at = np.flatnonzero(np.diff(own, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(own[at], pa.int32()), pa.array([x.tobytes() for x in np.split(h, at[1:])] if len(h) else [], pa.binary())], names=["owner", "hashes"])
+
+    def answer(key, parts):
+        h = np.frombuffer(b"".join(parts.column("hashes").to_pylist()), np.uint64)
+        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed_bits(h, slots)], pa.binary())})
+
+    hashes = ids.select(F.xxhash64(F.col(ids.columns[0])).alias("h")).mapInArrow(send, "owner int, hashes binary")
+    return made.gathered(spark, hashes.groupBy("owner").applyInArrow(answer, "owner int, bits binary"))
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is not in the one column of ``ids``; only rows that the bounded
+    filter can't clear are shuffled."""
+    held = bitmap_of(ids).column(F.xxhash64(F.col(key)))
+    mark, name = fresh(df, "held"), fresh(df, "key")
+    marked = df.withColumn(mark, held)
+    rest = marked.filter(F.col(mark)).withColumn(name, F.col(key)).join(ids.toDF(name).distinct(), name, "left_anti")
+    return marked.filter(~F.col(mark)).select(df.columns).unionByName(rest.select(df.columns))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,16 +141,3 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def flushed(batches: Iterator, size: int, of) -> Iterator[list]:
-    """Lists of consecutive items whose ``of(item)`` add up to ``size`` or a little more."""
-    held, total = [], 0
-    for x in batches:
-        held.append(x)
-        total += of(x)
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held

@@ -18,15 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
-from veridra.llm.common import fresh, partitions
-
-#: Bits of all bitmaps together: 16 MB.
-BITMAP_BITS = 1 << 27
+from veridra.llm.common import FILTER_BITS, Bitmap, fresh, owner_of, packed_bits
 
 
 def golomb_encode(gaps: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -53,30 +48,22 @@ def golomb_decode(k: int, unary: bytes, rest: bytes, n: int) -> np.ndarray:
     return out + (q.astype(np.uint64) << np.uint64(k))
 
 
-def _owner(h: np.ndarray, owners: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
-
-
-def _slot(h: np.ndarray, slots: int) -> np.ndarray:
-    return (((h & np.uint64(0xFFFFFFFF)) * np.uint64(slots)) >> np.uint64(32)).astype(np.int64)
-
-
 def _fingerprint(text) -> F.Column:
     return F.xxhash64(text)
 
 
-def duplicate_slots(docs: DataFrame, text_col: str, bitmap_bits: int = BITMAP_BITS) -> tuple[np.ndarray, int, int]:
-    """The owners' bitmaps one after another (packed), the number of owners, the slots of each."""
+def duplicates(docs: DataFrame, text_col: str, bitmap_bits: int = FILTER_BITS) -> Bitmap:
+    """The owners' bitmaps of the fingerprints that occur more than once."""
     spark = docs.sparkSession
-    owners = partitions(spark)
-    slots = max(8, bitmap_bits // owners // 8 * 8)
+    made = Bitmap(spark, bitmap_bits)
+    owners, slots = made.owners, made.slots
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches if b.num_rows]
         if not parts:
             return
         h, n = np.unique(np.concatenate(parts), return_counts=True)
-        own = _owner(h, owners)
+        own = owner_of(h, owners)
         cuts = np.flatnonzero(np.diff(own)) + 1
         rows = []
         for at, end in zip([0, *cuts], [*cuts, len(h)], strict=True):
@@ -93,39 +80,22 @@ def duplicate_slots(docs: DataFrame, text_col: str, bitmap_bits: int = BITMAP_BI
             every.append(h := np.cumsum(h, dtype=np.uint64))
             own_twice.append(h[np.unpackbits(np.frombuffer(m["twice"], np.uint8))[: m["n"]] > 0])
         found, n = np.unique(np.concatenate(every), return_counts=True)
-        bits = np.zeros(slots, bool)
-        bits[_slot(found[n > 1], slots)] = True
-        for h in own_twice:
-            bits[_slot(h, slots)] = True
-        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zstandard.ZstdCompressor().compress(np.packbits(bits).tobytes())], pa.binary())})
+        twice = np.concatenate([found[n > 1], *own_twice])
+        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed_bits(twice, slots)], pa.binary())})
 
     sent = docs.select(_fingerprint(F.col(text_col)).alias("h")).mapInArrow(send, "owner int, n long, first long, k int, unary binary, rest binary, twice binary")
-    whole = np.zeros(owners * slots // 8, np.uint8)
-    for owner, bits in sent.groupBy("owner").applyInArrow(answer, "owner int, bits binary").toLocalIterator():
-        whole[owner * slots // 8 : (owner + 1) * slots // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(bits)), np.uint8)
-    return whole, owners, slots
+    return made.gathered(spark, sent.groupBy("owner").applyInArrow(answer, "owner int, bits binary"))
 
 
 def _marked(docs: DataFrame, text_col: str, bitmap_bits: int) -> tuple[DataFrame, str, str]:
     """``docs`` with its fingerprint and whether it is a suspect. Null texts are empty."""
-    whole, owners, slots = duplicate_slots(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), "t", bitmap_bits)
-    sent = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
-
-    @pandas_udf("boolean")
-    def suspect(h):
-        import pandas as pd
-
-        u = h.to_numpy().view(np.uint64)
-        at = _owner(u, owners).astype(np.int64) * slots + _slot(u, slots)
-        bits = np.frombuffer(sent.value, np.uint8)
-        return pd.Series((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
-    h, s = (fresh(docs, x) for x in ("fingerprint", "suspect"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn(h, _fingerprint(text)).withColumn(s, suspect(F.col(h))), h, s
+    held = duplicates(docs.select(text.alias("t")), "t", bitmap_bits)
+    h, s = (fresh(docs, x) for x in ("fingerprint", "suspect"))
+    return docs.withColumn(h, _fingerprint(text)).withColumn(s, held.column(F.col(h))), h, s
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     Texts are equal when their bytes are; null counts as empty. The row with the largest id stays.
@@ -152,7 +122,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     )
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``decisions``.
 
     Of rows repeated with id and text one stays, that with the largest other columns. Rows that are no suspects pass through without a shuffle.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridra.llm import byte_bpe, exact_dedup, packing, quality, substring_dedup, toxicity
+from veridra.llm import byte_bpe, exact_dedup, near_dedup, packing, quality, substring_dedup, toxicity
 from veridra.llm.common import crc_mod, documents
 
 
@@ -49,6 +49,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.decisions(documents(spark, sf_dir), shingle_words=4)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(documents(spark, sf_dir))
 
@@ -69,7 +73,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_byte_bpe, op6_quality_rules, op9_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_byte_bpe, op5_near_dedup, op6_quality_rules, op9_packing, op10_substring_dedup)}
 
 SQL = {
     "op1_exact_dedup": """
