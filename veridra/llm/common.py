@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,3 +142,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sliced(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and of so many bytes in column ``text`` unless one
+    row has more, so that a few very long texts are not in memory together."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > at and (held + n > size or i - at >= rows):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-from veridra.llm.common import bitmap_of, store, without
+from veridra.llm.common import bitmap_of, sliced, store, without
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -82,8 +82,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in sliced(batch, 1):
                 sets = [shingles(t or b"", n) for t in some.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 made = iter(signatures(full) if full else ())
@@ -142,8 +141,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in sliced(batch, 1):
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t or b"", n).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
     sets = maybe.mapInArrow(run, "id long, set binary").join(ids, "id", "left_semi")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridra.llm.common import sliced
+
 #: A line is removed if more distinct documents of its host hold it than the larger of these two.
 LIMIT_DOCS = 50
 LIMIT_SHARE = 0.02
@@ -72,8 +74,7 @@ def measures(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in sliced(batch, 3):
                 got = [_measure(t, numbers) for t in some.column(3).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*got, strict=True))], names=["host", "content", "doc_id", *names])
 
@@ -86,8 +87,8 @@ def document_lines(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some, out = batch.slice(at, 512), []
+            for some in sliced(batch, 3):
+                out = []
                 for host, content, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(3).cast(pa.binary()).to_pylist(), strict=True):
                     n: dict[int, int] = {}
                     for line in text.split(b"\n"):

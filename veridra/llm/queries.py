@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridra.llm import byte_bpe, exact_dedup, near_dedup, packing, quality, substring_dedup, toxicity
+from veridra.llm import byte_bpe, chat, exact_dedup, language, near_dedup, packing, quality, substring_dedup, toxicity
 from veridra.llm.common import crc_mod, documents
 
 
@@ -57,6 +57,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), *language.train(documents(spark, sf_dir)))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = chat.format_preferences(chat.neighbours(chat.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    trained = lambda mask: F.coalesce(F.aggregate(F.filter(mask, lambda m: m["trained"]), F.lit(0), lambda n, m: n + m["length"]), F.lit(0)).cast("long")
+    return formatted.select("pair_id", "chosen_id", "rejected_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen", "rejected", trained(F.col("chosen_mask")).alias("chosen_trained_chars"), trained(F.col("rejected_mask")).alias("rejected_trained_chars"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
@@ -73,7 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_byte_bpe, op5_near_dedup, op6_quality_rules, op9_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_byte_bpe, op5_near_dedup, op6_quality_rules, op7_language_id, op8_chat_formatting, op9_packing, op10_substring_dedup)}
 
 SQL = {
     "op1_exact_dedup": """

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridra.llm.common import sliced
+
 WINDOW_WORDS = 32
 ORDINARY_BYTES = 112_640
 TOXIC_BYTES = 2048
@@ -156,8 +158,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in sliced(batch, 1):
                 got = [model.score(model.feature(t or b"", compressors)) for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
@@ -171,8 +172,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
         for batch in batches:
-            for from_ in range(0, batch.num_rows, 256):
-                some = batch.slice(from_, 256)
+            for some in sliced(batch, at):
                 keep = [model.score(model.feature(t or b"", compressors)) < threshold for t in some.column(at).cast(pa.binary()).to_pylist()]
                 kept = some.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(kept.columns, names=names)
