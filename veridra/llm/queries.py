@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridra.llm import byte_bpe, chat, exact_dedup, language, near_dedup, packing, quality, substring_dedup, toxicity
+from veridra.llm import byte_bpe, chat, exact_dedup, language, lm, near_dedup, packing, quality, substring_dedup, toxicity
 from veridra.llm.common import crc_mod, documents
 
 
@@ -22,6 +22,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    scored = lm.score(documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.train(docs, labels.filter(crc_mod(F.col("doc_id"), 4) != 2))
@@ -83,7 +89,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_byte_bpe, op5_near_dedup, op6_quality_rules, op7_language_id, op8_chat_formatting, op9_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_byte_bpe, op5_near_dedup, op6_quality_rules, op7_language_id, op8_chat_formatting, op9_packing, op10_substring_dedup)}
 
 SQL = {
     "op1_exact_dedup": """
