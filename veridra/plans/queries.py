@@ -363,13 +363,13 @@ def a_mode_ties(spark, sf_dir):
     return n.join(most, "g").filter("n = most").select("g", "v", "n")
 
 
-@query("""SELECT o_custkey, round(list_sum(x), 2) AS s, round(list_avg(x), 6) AS a, CAST(len(x) AS BIGINT) AS n, median AS med, CASE WHEN len(x) > 1 THEN round(sd, 6) END AS sd, CASE WHEN len(x) > 1 THEN round(va, 2) END AS va, mode AS mo, CAST(len(list_distinct(st)) AS BIGINT) AS u
+@query("""SELECT o_custkey, round(list_sum(x), 2) AS s, round(list_avg(x), 6) AS a, CAST(len(x) AS BIGINT) AS n, median AS med, CASE WHEN len(x) > 1 THEN round(sd, 6) END AS sd, CASE WHEN len(x) > 1 THEN round(va / 1000000, 4) END AS va, mode AS mo, CAST(len(list_distinct(st)) AS BIGINT) AS u
     FROM (SELECT o_custkey, list(o_totalprice) AS x, list(o_orderstatus) AS st, median(o_totalprice) AS median, stddev_samp(o_totalprice) AS sd, var_samp(o_totalprice) AS va,
         (SELECT min(s) FROM (SELECT o_orderstatus AS s, count(*) AS c FROM orders i WHERE i.o_custkey = o.o_custkey GROUP BY 1 QUALIFY rank() OVER (ORDER BY c DESC) = 1)) AS mode FROM orders o GROUP BY o_custkey)""")
 def a_array_functions(spark, sf_dir):
     """The aggregate functions of the expression language on arrays inside records."""
     df = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("x"), F.collect_list("o_orderstatus").alias("st"))
-    return evaluate(df, {"s": "round(sum(x), 2)", "a": "round(avg(x), 6)", "n": "count(x)", "med": "median(x)", "sd": "round(stddev(x), 6)", "va": "round(variance(x), 2)", "mo": "mode(st)", "u": "len(unique(st))"}).drop("x", "st")
+    return evaluate(df, {"s": "round(sum(x), 2)", "a": "round(avg(x), 6)", "n": "count(x)", "med": "median(x)", "sd": "round(stddev(x), 6)", "va": "round(variance(x) / 1000000, 4)", "mo": "mode(st)", "u": "len(unique(st))"}).drop("x", "st")
 
 
 @query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'P') AS non_null, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY o_custkey")
