@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridra.llm.common import sliced
+
 CHUNK_CHARS = 16_384
 #: Characters that a chunk runs on at least.
 OVERLAP_CHARS = 256
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 _coders: dict[tuple[str, str], "Coder"] = {}
 
@@ -64,28 +66,34 @@ class Coder(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
-    def chunks(self, text: str, size: int) -> Iterator[tuple[int, bool, str]]:
-        """(start, whether it runs to the end of the text, text from the start on)."""
-        for start in range(0, len(text), size):
+    def run_on(self, text: str, at: int) -> int:
+        """Where a chunk ends whose successor starts at ``at``."""
+        sure = self.safe.search(text, at + OVERLAP_CHARS)
+        # the boundary behind the sure one may see the cut, so run on by a whole pre-token more
+        return len(text) if not sure else next((m.end() for m in self.safe.finditer(text, sure.end())), len(text))
+
+    def chunks(self, text: str, size: int) -> Iterator[tuple[int, int, bool, str]]:
+        """(start, start of the next chunk, whether this one runs to the end of the text, its text)."""
+        for start in range(0, max(1, len(text)), size):
             own = start + size
+            end = len(text) if own >= len(text) else self.run_on(text, own)
+            yield start, own, end == len(text), text[start:end]
             if own >= len(text):
-                yield start, True, text[start:]
                 return
-            sure = self.safe.search(text, own + OVERLAP_CHARS)
-            # the boundary behind the sure one may see the cut, so run on by a whole pre-token more
-            end = len(text) if not sure else next((m.end() for m in self.safe.finditer(text, sure.end())), len(text))
-            yield start, end == len(text), text[start:end]
 
 
-def _chunk_message(coder: Coder, start: int, text: str) -> tuple[bytes, bytes, bytes]:
-    """Ends of the pre-tokens in the text, ends of their ids, and the ids."""
+def _chunk_message(coder: Coder, start: int, own: int, text: str) -> tuple[bytes, bytes, bytes]:
+    """Ends of the pre-tokens in the text and ends of their ids, both only where a neighbour has
+    pre-tokens too, and all ids."""
     import numpy as np
 
     pieces = coder.pieces(text)
-    ends = np.cumsum([len(p) for p in pieces]) + start
     ids = [coder[p] for p in pieces]
-    ids_ends = np.cumsum([len(i) // 4 for i in ids])
-    return ends.astype("<i8").tobytes(), ids_ends.astype("<i8").tobytes(), b"".join(ids)
+    ends = np.cumsum([len(p) for p in pieces], dtype="<i8") + start
+    ids_ends = np.cumsum([len(i) // 4 for i in ids], dtype="<i8")
+    told = (ends <= start + coder.run_on(text, 0)) | (ends >= own)
+    told[-2:] = True
+    return ends[told].tobytes(), ids_ends[told].tobytes(), b"".join(ids)
 
 
 def stitch(parts: list[dict]) -> bytes:
@@ -131,8 +139,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks_file, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in sliced(batch, 1):
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([coder.encode(t) for t in some.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +147,15 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = list(coder.chunks(text, chunk_chars))
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(got), pa.int64()), pa.array([doc_id] * len(got), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.bool_(), pa.string()), strict=True))], names=["row", "doc_id", "start", "whole", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(got), pa.int64()), pa.array([doc_id] * len(got), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True))], names=["row", "doc_id", "start", "own", "whole", "text"])
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks_file, pattern)
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                got = _chunk_message(coder, one.column(2)[0].as_py(), one.column(4)[0].as_py())
-                yield pa.RecordBatch.from_arrays([*one.columns[:4], *(pa.array([x], pa.binary()) for x in got)], names=["row", "doc_id", "start", "whole", "ends", "ids_ends", "ids"])
+                got = _chunk_message(coder, one.column(2)[0].as_py(), one.column(3)[0].as_py(), one.column(5)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], one.column(4), *(pa.array([x], pa.binary()) for x in got)], names=["row", "doc_id", "start", "whole", "ends", "ids_ends", "ids"])
 
     def stitched(key, parts):
         return pa.table({"doc_id": pa.array([parts.column("doc_id")[0].as_py()], pa.int64()), "ids": pa.array([stitch(parts.select(["start", "whole", "ends", "ids_ends", "ids"]).to_pylist())], pa.binary())})
@@ -156,7 +163,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     schema = "doc_id long, ids binary"
     small = plain.filter(F.length("text") <= chunk_chars).select("doc_id", "text").mapInArrow(short, schema)
     large = plain.filter(F.length("text") > chunk_chars)
-    parts = large.mapInArrow(split, "row long, doc_id long, start long, whole boolean, text string").repartition("row", "start").mapInArrow(chunked, "row long, doc_id long, start long, whole boolean, ends binary, ids_ends binary, ids binary")
+    parts = large.mapInArrow(split, "row long, doc_id long, start long, own long, whole boolean, text string").repartition("row", "start").mapInArrow(chunked, "row long, doc_id long, start long, whole boolean, ends binary, ids_ends binary, ids binary")
     return small.unionByName(parts.groupBy("row").applyInArrow(stitched, schema))
 
 
@@ -169,9 +176,12 @@ def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
 
         coder = Coder.of(ranks_file, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = [np.frombuffer(i or b"", "<u4").tolist() for i in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([b"".join(map(coder.bytes_of.__getitem__, i)) for i in ids], pa.binary()), pa.array([" ".join(map(coder.text_of.__getitem__, i)) for i in ids], pa.string())], names=["doc_id", "ids", "bytes", "ids_text"])
+            for some in sliced(batch, 1, rows=64):
+                out, texts = [], []
+                for ids in some.column(1):
+                    ids = np.frombuffer(ids.as_py() or b"", "<u4").tolist()
+                    out.append(b"".join(map(coder.bytes_of.__getitem__, ids)))
+                    texts.append(" ".join(map(coder.text_of.__getitem__, ids)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "bytes", "ids_text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary, ids_text string")
