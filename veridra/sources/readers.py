@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +36,8 @@ class Options:
     comment: str | None = None
     encoding: str = "UTF-8"
     row_tag: str | None = None
+    #: JSON with an object a line, whose files can be split, rather than one document a file.
+    lines: bool = False
 
 
 def spark_type(s: Schema, slot: Slot, depth: int = 3) -> T.DataType:
@@ -108,6 +110,10 @@ def read_tsv(spark: SparkSession, path: str | list[str], s: Schema | None = None
     return read_csv(spark, path, s, o)
 
 
+def read_json_lines(spark: SparkSession, path: str | list[str], s: Schema | None = None, options: Options | None = None) -> DataFrame:
+    return read_json(spark, path, s, replace(options or Options(), lines=True))
+
+
 def json_class(keys: Column, declared: Column, s: Schema) -> Column:
     """The class of a record by its declared type, else by most slots among its keys (the first of
     equal ones); NULL if no slot is."""
@@ -121,7 +127,7 @@ def json_class(keys: Column, declared: Column, s: Schema) -> Column:
 def read_json(spark: SparkSession, path: str | list[str], s: Schema | None = None, options: Options | None = None) -> DataFrame:
     """Objects, one a line or in an array; with a schema, the fields of one class, typed."""
     o = options or Options()
-    r = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED" if o.skip_invalid else "PERMISSIVE").option("encoding", o.encoding)
+    r = spark.read.option("multiLine", not o.lines).option("mode", "DROPMALFORMED" if o.skip_invalid else "PERMISSIVE").option("encoding", o.encoding)
     if s is None or o.cls is None:
         return _limited(r.json(path).withColumnsRenamed(o.mapping), o)
     back = {b: a for a, b in o.mapping.items()}
@@ -241,7 +247,7 @@ def at_json_path(text: Column, path: str) -> Column:
 
 
 #: By format, how it is read: spark, path, schema, options.
-READERS: dict[str, Callable[..., DataFrame]] = {"csv": read_csv, "tsv": read_tsv, "json": read_json, "jsonl": read_json, "yaml": read_yaml, "yml": read_yaml, "xml": read_xml}
+READERS: dict[str, Callable[..., DataFrame]] = {"csv": read_csv, "tsv": read_tsv, "json": read_json, "jsonl": read_json_lines, "yaml": read_yaml, "yml": read_yaml, "xml": read_xml}
 
 
 def read(spark: SparkSession, path: str, s: Schema | None = None, options: Options | None = None, kind: str | None = None) -> DataFrame:
