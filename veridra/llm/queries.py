@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridra.llm import byte_bpe, chat, exact_dedup, language, lm, near_dedup, packing, quality, substring_dedup, toxicity
-from veridra.llm.common import crc_mod, documents
+from veridra.llm.common import WORD_BREAK, crc_mod, documents
 
 
 def _tokenizer(name: str) -> str:
@@ -79,14 +79,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"), counts=("n_words", "n_removed"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([sha256(b" ".join((t or b"").split())).hexdigest() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), WORD_BREAK), lambda w: w != "")
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_byte_bpe, op5_near_dedup, op6_quality_rules, op7_language_id, op8_chat_formatting, op9_packing, op10_substring_dedup)}
@@ -96,4 +90,19 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "op8_chat_formatting": """
+        WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+                   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        p AS (SELECT conv_id // 2 AS pair_id, max(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, max(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id,
+                     any_value(l) FILTER (conv_id % 2 = 0) AS a, any_value(l) FILTER (conv_id % 2 = 1) AS b FROM t GROUP BY 1),
+        q AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL
+                 THEN coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])), least(len(a), len(b)) + 1) - 1
+                 ELSE coalesce(nullif(list_position(list_transform(coalesce(a, b), lambda x: x.role), 'assistant'), 0) - 1, len(coalesce(a, b))) END AS n FROM p)
+        SELECT pair_id, chosen_id, rejected_id, CAST(n AS BIGINT) AS prompt_turns,
+               array_to_string(list_transform(coalesce(a, b)[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS prompt,
+               array_to_string(list_transform(a[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS chosen,
+               array_to_string(list_transform(b[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS rejected,
+               CAST(coalesce(list_sum(list_transform(list_filter(a[n + 1:], lambda x: x.role = 'assistant'), lambda x: length(x.text) + 11)), 0) AS BIGINT) AS chosen_trained_chars,
+               CAST(coalesce(list_sum(list_transform(list_filter(b[n + 1:], lambda x: x.role = 'assistant'), lambda x: length(x.text) + 11)), 0) AS BIGINT) AS rejected_trained_chars
+        FROM q""",
 }
