@@ -105,4 +105,20 @@ SQL = {
                CAST(coalesce(list_sum(list_transform(list_filter(a[n + 1:], lambda x: x.role = 'assistant'), lambda x: length(x.text) + 11)), 0) AS BIGINT) AS chosen_trained_chars,
                CAST(coalesce(list_sum(list_transform(list_filter(b[n + 1:], lambda x: x.role = 'assistant'), lambda x: length(x.text) + 11)), 0) AS BIGINT) AS rejected_trained_chars
         FROM q""",
+    "op6_quality_rules": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS window_words FROM w, unnest(range(1, len(ws) - 1)) AS r(i)),
+        again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, window_words) > 1),
+        cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest([0, 1, 2]) AS u(k) GROUP BY doc_id),
+        lines AS (SELECT DISTINCT host, t, trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line, x
+                  FROM (SELECT host, t, unnest(ls) AS x FROM w)),
+        frequent AS (SELECT host, line FROM lines JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host) GROUP BY host, line HAVING count(DISTINCT t) > 50 AND count(DISTINCT t) > 0.02 * max(docs)),
+        removed AS (SELECT host, t, sum(len(list_filter(string_split(line, ' '), lambda y: y <> '')) * len(list_filter(string_split(t, chr(10)), lambda z: z = x))) AS n FROM lines JOIN frequent USING (host, line) GROUP BY host, t),
+        m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                     coalesce(cover.n, 0) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS words_removed
+              FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN removed USING (host, t))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - words_removed >= 0.3 * n_words AS kept FROM m""",
 }
