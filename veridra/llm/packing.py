@@ -10,8 +10,11 @@ out as shorter sequences whose lengths are powers of two, so that it needs no pa
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridra.llm.common import sliced
+
 #: Windows, longest first; all powers of two.
 TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
@@ -27,7 +32,9 @@ STEP_TOKENS = 65_536
 #: Tokens that a task gathers before it packs them.
 BUFFER_TOKENS = 4_000_000
 #: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: A word that ends in one of these after an ASCII letter or digit has the ids of both parts.
+_TAILS = b".,;:!?"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_length", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
@@ -38,6 +45,9 @@ _words: dict[str, "WordIds"] = {}
 class WordIds(dict):
     """Ids of a word, as little-endian unsigned 32-bit bytes; unknown words are encoded in batches."""
 
+    if sys.byteorder != "little" or array("I").itemsize != 4:
+        raise ImportError("this module needs a little-endian machine with 32-bit integers")
+
     def __init__(self, file: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,13 +57,17 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True
 
     def learn(self, words: set[bytes]) -> None:
-        import numpy as np
-
-        new = list(words)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        tailed = [w for w in words if w[-1] in _TAILS and w[-2:-1].isalnum()]
+        new = words.difference(tailed)
+        new.update([w[:-1] for w in tailed], [w[-1:] for w in tailed])
+        new = [w for w in new if w not in self]
+        encode = self.tokenizer.encode_batch_fast
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            for w, e in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self[w] = array("I", e.ids).tobytes()
+        for w in tailed:
+            self[w] = self[w[:-1]] + self[w[-1:]]
 
     @classmethod
     def of(cls, file: str) -> WordIds:
@@ -66,7 +80,7 @@ def encode_words(texts: list[bytes | None], file: str) -> list[bytes]:
     """The ids of whole texts. The tokenizer drops white space and never joins two words, so that a
     text's ids are those of its words one after another."""
     known = WordIds.of(file)
-    split = [(t or b"").split() for t in texts]
+    split = [(t or b"").lower().split() for t in texts]  # the tokenizer's own lower case follows
     new = set().union(*split).difference(known)
     if new:
         if len(known) + len(new) > CACHE_WORDS:
@@ -176,12 +190,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the collector would go through all remembered words
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 32)
         held = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                for doc_id, one in zip(ids[at : at + 256], encode_words(texts.slice(at, 256).to_pylist(), tokenizer), strict=True):
+            for some in sliced(batch, 1):
+                for doc_id, one in zip(some.column(0).to_pylist(), encode_words(some.column(1).to_pylist(), tokenizer), strict=True):
                     packer.add(doc_id, one + end)
                     held += len(one) // 4 + 1
                 if held >= BUFFER_TOKENS:
@@ -192,5 +206,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         packer.pack(last=True)
         if packer.rows:
             yield packer.drain()
+        gc.enable()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
