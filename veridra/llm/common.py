@@ -156,3 +156,16 @@ def sliced(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 4_000_
         held += n
     if at < batch.num_rows:
         yield batch.slice(at)
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task keeps little."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass

@@ -21,14 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import fresh, partitions
+from veridra.llm.common import WORD_BREAK, bitmap_of, fresh, partitions, sliced, store, trimmed
 
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 3
 #: Words that a task gathers before it sends them on.
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 500_000
 #: Buckets for each shuffle partition: they bound a bucket's memory, not the tasks.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -105,7 +105,7 @@ def _send(docs: list[tuple], k: int, buckets: int) -> pa.RecordBatch | None:
     bucket = (_mixed(key) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    press, rows = zstandard.ZstdCompressor(level=3), []
+    press, rows = zstandard.ZstdCompressor(level=5), []
     first_l, end_l = first.tolist(), (first + count + k - 1).tolist()
     for some in np.split(order, cuts):
         seen: dict[bytes, int] = {}
@@ -206,8 +206,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for doc_id, content, text in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns), strict=True):
+            for some in sliced(batch, 2):
+                for doc_id, content, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     words = text.split()
                     if len(words) >= k:
                         held.append((doc_id, content, words))
@@ -218,12 +218,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                         held, n = [], 0
         if held and (sent := _send(held, k, buckets)):
             yield sent
+        held = None
+        trimmed()
 
     def find(key, messages):
         rows = messages.to_pylist()
         doc, content, start = repeated_windows(rows, k)
         again = [_places(m["again"], m["n_again"]) for m in rows if m["n_again"]]
         found = _ranges(*np.concatenate([np.stack([doc, content, start, np.ones(len(doc), np.int64)]), *again], axis=1))
+        del rows, again, doc, content, start
+        trimmed()
         return pa.table(dict(zip(("doc_id", "content", "first", "end"), map(pa.array, found), strict=True)))
 
     sent = plain.mapInArrow(send, "bucket int, n long, places binary, words binary, n_again long, again binary")
@@ -264,22 +268,27 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     the earlier one. A text without repeats is not changed. An empty table gives no rows.
     """
     spans = fresh(docs, "spans")
-    ranges = repeats(docs, id_col, text_col, k).groupBy("doc_id", "content").agg(F.collect_list(F.struct("first", "end")).alias(spans))
+    ranges = store(repeats(docs, id_col, text_col, k).groupBy("doc_id", "content").agg(F.collect_list(F.struct("first", "end")).alias(spans)))
+    held = bitmap_of(ranges.select("content"))
     doc, content = fresh(docs, "id"), fresh(docs, "content")
     keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn(content, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = keyed.join(ranges.withColumnsRenamed({"doc_id": doc, "content": content}), [doc, content], "left").drop(doc, content)
+    # only texts that the bounded filter can't clear meet their ranges in a shuffle
+    mark = fresh(docs, "held")
+    marked = keyed.withColumn(mark, held.column(F.xxhash64(content)))
+    n_words = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WORD_BREAK), lambda w: w != "")).cast("long")
+    alone = marked.filter(~F.col(mark)).select(*docs.columns, *([n_words.alias(counts[0]), F.lit(0).cast("long").alias(counts[1])] if counts else []))
+    joined = marked.filter(F.col(mark)).join(ranges.withColumnsRenamed({"doc_id": doc, "content": content}), [doc, content], "left")
     at = docs.columns.index(text_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{c}` long" for c in counts or ()]
     columns = [*docs.columns, spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for from_ in range(0, batch.num_rows, 256):
-                some = batch.slice(from_, 256)
+            for some in sliced(batch, at):
                 got = [cut_words(t or "", [(r["first"], r["end"]) for r in s or ()], k) for t, s in zip(some.column(at).to_pylist(), some.column(len(columns) - 1).to_pylist(), strict=True)]
                 texts = pa.array([None if t is None else g[0] for t, g in zip(some.column(at).to_pylist(), got, strict=True)], pa.string())
                 out = [texts if i == at else c for i, c in enumerate(some.columns[:-1])]
                 out += [pa.array([g[1 + i] for g in got], pa.int64()) for i in range(len(counts or ()))]
                 yield pa.RecordBatch.from_arrays(out, names=[*columns[:-1], *(counts or ())])
 
-    return joined.select(columns).mapInArrow(run, ", ".join(fields))
+    return alone.unionByName(joined.select(columns).mapInArrow(run, ", ".join(fields)))
