@@ -3,14 +3,17 @@
 Documents of equal shingle sets form a class; only classes are compared. Each class is posted under
 its signature's (coordinate, value) pairs. Classes whose sets overlap enough share at least
 ``MATCHES`` of the ``COORDINATES`` pairs, so by the prefix principle they also share one among the
-rarest ``COORDINATES - MATCHES + 1`` of each; the other, longer lists are skipped. Pairs of a list are
-kept if their signatures collide often enough, and are confirmed on the full sets.
-
-No list is expanded into all its pairs. First every class is compared with the best of its lists'
-heads (the least id of a list), which gathers a group of near copies around one of them. Then lists
-that lie within one component are skipped, and in each of the others the members outside its largest
-component are compared with all members of other components. After that every pair of a list is
-either compared or known to be in one component.
+rarest ``COORDINATES - MATCHES + 1`` of each; the other, longer lists are skipped. A pair of a list is
+a candidate if its signatures collide often enough and its parity sketches, whose difference has at
+most a bit for each element that only one set has, do not rule it out. Candidates are confirmed on
+the full sets.
+
+No list is expanded into all its pairs. First every class is compared with the heads (least ids) of
+its lists, then with the heads of larger components in its lists; the best candidate of each class is
+confirmed, which gathers a group of near copies. Then lists that lie within one component are
+skipped, and in each of the others the members outside its largest component are joined with those
+of other components, on the condition that the pair is a candidate. After that every pair of a list
+is ruled out, confirmed or denied, or known to be in one component.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
@@ -31,6 +34,10 @@ SIMILARITY = 0.8
 COORDINATES = 64
 #: Of 64 coordinates, a pair at similarity 0.8 shares fewer than this with probability 1e-7.
 MATCHES = 33
+#: Bits of each value that two signatures are compared by.
+DIGEST_BITS = 8
+#: Bits of a parity sketch.
+PARITY_BITS = 2048
 CACHE_WORDS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,8 +82,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each of PARITY_BITS buckets, whether an odd number of elements falls into it."""
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1).tobytes()
+
+
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set (hash of the shingle set, null if it is empty), signature."""
+    """doc_id, n_shingles, set (hash of the shingle set, null if it is empty), signature, parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -86,9 +98,9 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
                 sets = [shingles(t or b"", n) for t in some.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 made = iter(signatures(full) if full else ())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set", "signature"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set", "signature", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set binary, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set binary, signature binary, parity binary")
 
 
 def _posted(classes: DataFrame) -> DataFrame:
@@ -105,32 +117,105 @@ def _posted(classes: DataFrame) -> DataFrame:
     return classes.select("class", "signature").mapInArrow(run, "class long, key long")
 
 
+@pandas_udf(T.ArrayType(T.LongType()))
+def _planes(signatures):
+    """The low bits of a signature's values as bit planes: for each bit, a word for every 64
+    coordinates, so that XOR compares 64 coordinates at once."""
+    import pandas as pd
+
+    values = np.frombuffer(b"".join(signatures), "<u4").reshape(-1, COORDINATES).astype(np.uint8)
+    bits = np.unpackbits(values[:, :, None], axis=2, count=DIGEST_BITS, bitorder="little")  # row, coordinate, bit
+    planes = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
+    return pd.Series(list(np.ascontiguousarray(planes).reshape(len(values), -1).view("<i8")))
+
+
+@pandas_udf(T.ArrayType(T.LongType()))
+def _words_of(sketches):
+    import pandas as pd
+
+    return pd.Series(list(np.frombuffer(b"".join(sketches), "<i8").reshape(len(sketches), -1)))
+
+
+_WORDS = COORDINATES // 64
+
+
+def _equal(a: Column, b: Column) -> list[Column]:
+    """Words whose bits tell which coordinates of two digests are equal."""
+    out = []
+    for w in range(_WORDS):
+        differ = F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))
+        for bit in range(1, DIGEST_BITS):
+            at = F.lit(bit * _WORDS + w)
+            differ = differ.bitwiseOR(F.get(a, at).bitwiseXOR(F.get(b, at)))
+        out.append(F.bitwise_not(differ))
+    return out
+
+
+def _collisions(a: Column, b: Column) -> Column:
+    """The number of coordinates that two digests have in common."""
+    return sum((F.bit_count(w) for w in _equal(a, b)[1:]), F.bit_count(_equal(a, b)[0]))
+
+
+def _not_ruled_out(a: Column, b: Column, n: Column, similarity: float) -> Column:
+    """Whether sets of n elements together can be similar enough. Their sketches differ in no more
+    bits than there are elements that only one of them has, and in fewer where these share buckets:
+    by six standard deviations, the pairs that are wrongly ruled out are none in practice."""
+    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = n * ((1 - similarity) / (1 + similarity)) + 1e-6
+    left = F.exp(apart * (-2.0 / PARITY_BITS))
+    return bits <= F.least(apart, (1 - left) * (PARITY_BITS / 2) + F.sqrt((1 - left * left) * (PARITY_BITS / 4)) * 6)
+
+
+def _candidate(x: str, y: str, matches: int, similarity: float) -> Column:
+    """Whether classes of the structs x and y (class, n, planes, parity, held) have to be confirmed.
+    Each test is cheaper than the next, and the last is rarely reached."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    sizes = (n >= m * similarity - 1e-6) & (m >= n * similarity - 1e-6)
+    return sizes & (_collisions(F.col(f"{x}.planes"), F.col(f"{y}.planes")) >= matches) & _not_ruled_out(F.col(f"{x}.parity"), F.col(f"{y}.parity"), n + m, similarity)
+
+
+def _first_met(a: Column, b: Column, mine: Column, yours: Column, key: Column) -> Column:
+    """Whether no list of a lower coordinate than this one's holds both classes; mine, yours: words
+    whose bits tell the coordinates in whose lists either class is."""
+    at = F.shiftright(key, 32).cast("int")
+    out = F.lit(True)
+    for w, equal in enumerate(_equal(a, b)):
+        met = equal.bitwiseAND(F.get(mine, F.lit(w))).bitwiseAND(F.get(yours, F.lit(w)))
+        below = F.when(at >= 64 * (w + 1), F.lit(-1).cast("long")).when(at <= 64 * w, F.lit(0).cast("long")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), at - 64 * w)))
+        out = out & (met.bitwiseAND(below) == 0)
+    return out
+
+
 def _lists(classes: DataFrame, matches: int) -> DataFrame:
-    """key, class, digest (a byte for each coordinate): the lists that are not skipped."""
+    """key and c: class, n (elements), planes, parity and held (the coordinates of the class's lists), for the
+    lists that are not skipped."""
     posted = store(_posted(classes))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # values that no other class has are the rarest; they come first in a prefix and join nothing
     own = posted.join(shared, "key").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
     length = F.size("own") - (matches - 1)
     prefix = own.filter(length > 0).select("class", F.slice("own", 1, length).alias("prefix"))
+    bit = lambda w: lambda acc, x: F.when(F.shiftright(x["key"], 38) == w, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(x["key"], 32) % 64).cast("int")))).otherwise(acc)
+    held = F.array(*[F.aggregate("prefix", F.lit(0).cast("long"), bit(w)) for w in range(_WORDS)])
+    each = prefix.join(classes.select("class", "n", _planes("signature").alias("planes"), _words_of("parity").alias("parity")), "class").withColumn("held", held)
+    return store(each.select(F.explode("prefix.key").alias("key"), F.struct("class", "n", "planes", "parity", "held").alias("c")))
 
-    @pandas_udf("binary")
-    def digest(s):
-        import pandas as pd
-
-        values = np.frombuffer(b"".join(s), "<u4").reshape(-1, COORDINATES).astype(np.uint8)
-        return pd.Series([v.tobytes() for v in values])
 
-    return store(prefix.join(classes.select("class", digest("signature").alias("digest")), "class").select(F.explode("prefix.key").alias("key"), "class", "digest"))
+def _attached(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Of candidates x and y, the best one of each x, if the full sets confirm it."""
+    n = _collisions(F.col("x.planes"), F.col("y.planes"))
+    best = pairs.select(F.col("x.class").alias("a"), F.struct(n.alias("n"), (-F.col("y.class")).alias("b")).alias("to")).groupBy("a").agg(F.max("to").alias("to"))
+    return store(confirmed(store(best.select("a", (-F.col("to.b")).alias("b"))), docs, shingle_words, similarity))
 
 
-@pandas_udf(T.IntegerType())
-def _collisions(a, b):
-    """The number of coordinates that two digests have in common."""
-    import pandas as pd
-
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, COORDINATES) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+def _mixed(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with each member's component and whether that is
+    the list's largest."""
+    known = components(edges)
+    parts = store(lists.join(known.withColumnRenamed("id", "of"), F.col("c.class") == F.col("of"), "left").select("key", "c", F.coalesce("component", "c.class").alias("component")))
+    sizes = parts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("most.component").alias("largest"))
+    return store(parts.join(largest, "key").select("key", "c", "component", (F.col("component") == F.col("largest")).alias("large")))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -191,29 +276,32 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     if their sets overlap by ``similarity`` or more; component_id is the least id that links reach,
     and that document is kept. Rows repeated with an id are one document. Other columns are not read.
     An empty table gives no rows. With a lower similarity, lower ``matches`` too: a pair at that
-    similarity must share so many of 64 coordinates.
+    similarity must share so many of the 64 coordinates.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = store(_signed(plain, shingle_words))
     # copies are folded before the shuffle
-    classes = store(signed.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "signature")).alias("head")).select("set", F.col("head.doc_id").alias("class"), F.col("head.signature").alias("signature")))
+    classes = store(signed.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "parity")).alias("head")).select("set", F.col("head.doc_id").alias("class"), F.col("head.n_shingles").alias("n"), "head.signature", "head.parity"))
     lists = _lists(classes, matches)
 
-    heads = lists.groupBy("key").agg(F.min(F.struct("class", "digest")).alias("head"))
-    near = lists.join(heads, "key").filter("class <> head.class").select("class", "digest", "head").distinct().withColumn("n", _collisions("digest", F.col("head.digest"))).filter(F.col("n") >= matches)
-    best = near.groupBy("class").agg(F.max(F.struct("n", (-F.col("head.class")).alias("head"))).alias("best"))
-    first = store(confirmed(store(best.select(F.col("class").alias("a"), (-F.col("best.head")).alias("b"))), plain, shingle_words, similarity))
-    known = components(first)
-
-    held = store(lists.join(known.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-    sizes = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("most.component").alias("largest"))
-    mixed = store(held.join(largest, "key"))
-    others = mixed.filter("component <> largest").select("key", F.col("class").alias("x"), F.col("digest").alias("dx"), F.col("component").alias("cx"))
-    across = others.join(mixed.select("key", F.col("class").alias("y"), F.col("digest").alias("dy"), F.col("component").alias("cy")), "key").filter("cx <> cy")
-    pairs = across.filter(_collisions("dx", "dy") >= matches).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    second = confirmed(store(pairs), plain, shingle_words, similarity)
-    whole = components(first.unionAll(second))
+    heads = lists.groupBy("key").agg(F.min("c").alias("y"))
+    joined = lists.withColumnRenamed("c", "x").join(heads, "key")
+    first = _attached(joined.filter((F.col("x.class") != F.col("y.class")) & _candidate("x", "y", matches, similarity)), plain, shingle_words, similarity)
+
+    mixed = _mixed(lists, first)
+    x = mixed.filter("not large").select("key", F.col("c").alias("x"), F.col("component").alias("cx"))
+    heads = mixed.groupBy(F.col("key").alias("k"), F.col("component").alias("cy")).agg(F.min("c").alias("y"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    joined = x.join(heads, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & _candidate("x", "y", matches, similarity))
+    second = _attached(joined, plain, shingle_words, similarity)
+
+    mixed = _mixed(lists, first.unionAll(second))
+    x = mixed.filter("not large").select("key", F.col("c").alias("x"), F.col("component").alias("cx"))
+    y = mixed.select(F.col("key").alias("k"), F.col("c").alias("y"), F.col("component").alias("cy"), "large")
+    # the whole test is the join's condition, so that a pair leaves the join once, and only as a candidate
+    test = (F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x.class") > F.col("y.class"))) & _first_met(F.col("x.planes"), F.col("y.planes"), F.col("x.held"), F.col("y.held"), F.col("key")) & _candidate("x", "y", matches, similarity)
+    pairs = x.join(y, (F.col("key") == F.col("k")) & test).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
+    third = confirmed(store(pairs), plain, shingle_words, similarity)
+    whole = components(first.unionAll(second).unionAll(third))
 
     of = signed.select("doc_id", "n_shingles", "set").join(classes.select("set", "class"), "set", "left").join(whole.withColumnRenamed("id", "class"), "class", "left")
     return of.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
