@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import partitions, sliced
+from veridra.llm.common import partitions, sliced, trimmed
 
 FLUSH_TOKENS = 1_000_000
 #: Tokens of a bucket, about.
@@ -58,9 +58,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _by_byte(a: np.ndarray) -> bytes:
+    """First bytes, second bytes and so on, as numbers of like size compress best; hashes as they are."""
+    if a.dtype.itemsize == 1 or a.dtype == np.uint64:
+        return a.tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = struct.pack(f"<{len(arrays) + 1}I", len(arrays), *(a.nbytes for a in arrays))
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(map(_by_byte, arrays)))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -69,7 +76,12 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = struct.unpack_from(f"<{n}I", raw, 4)
     out, at = [], 4 * n + 4
     for kind, size in zip(kinds, sizes, strict=True):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        width = np.dtype(kind).itemsize
+        if width == 1 or kind == "<u8":
+            out.append(np.frombuffer(raw, kind, size // width, at))
+        else:
+            planes = np.frombuffer(raw, np.uint8, size, at).reshape(width, -1)
+            out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += size
     return out
 
@@ -365,7 +377,8 @@ def _scores(b: _Bucket, answers: list[dict], owners: int) -> pa.Table:
     base = np.log10((c_w + 0.5) / (n + 0.5 * (v + 1)))
     docs = sum(len(t[0]) for t in b.tables)
     of_word = b.w[b.pair_of_row]
-    sums = [np.bincount(b.row_doc, b.row_n * x, docs) for x in (logs[b.pair_of_row], base[of_word])]
+    # a bucket's part of a score is sent in steps of 2**-24, which leaves its low bytes empty
+    sums = [np.round(np.bincount(b.row_doc, b.row_n * x, docs) * 2**24) / 2**24 for x in (logs[b.pair_of_row], base[of_word])]
     known = np.bincount(b.row_doc, b.row_n * (c_w[of_word] > 0), docs)
     out, at = [], 0
     for table in b.tables:
@@ -403,16 +416,22 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                         numbers, held, n = _Numbers(), [], 0
         if held:
             yield _send((*zip(*held, strict=True), numbers), buckets, hot)
+        numbers = held = None
+        trimmed()
 
     def ask(key, messages):
         number = key[0].as_py()
-        return _requests(number, _Bucket(number, messages.column("pairs").to_pylist(), hot), owners)
+        out = _requests(number, _Bucket(number, messages.column("pairs").to_pylist(), hot), owners)
+        trimmed()
+        return out
 
     def answer(key, messages):
         return _answers(key[0].as_py(), sorted(messages.select(["bucket", "request"]).to_pylist(), key=lambda m: m["bucket"]))
 
     def tell(key, messages, answers):
-        return _scores(_Bucket(key[0].as_py(), messages.column("pairs").to_pylist(), hot), answers.select(["owner", "answer"]).to_pylist(), owners)
+        out = _scores(_Bucket(key[0].as_py(), messages.column("pairs").to_pylist(), hot), answers.select(["owner", "answer"]).to_pylist(), owners)
+        trimmed()
+        return out
 
     def gather(key, messages):
         total = None
