@@ -81,13 +81,20 @@ def encode_words(texts: list[bytes | None], file: str) -> list[bytes]:
     text's ids are those of its words one after another."""
     known = WordIds.of(file)
     split = [(t or b"").lower().split() for t in texts]  # the tokenizer's own lower case follows
-    new = set().union(*split).difference(known)
-    if new:
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set().union(*split)
+    found = [list(map(known.get, words)) for words in split]  # one look at each word; None is unknown
+    new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+    if new and len(known) + len(new) > CACHE_WORDS:
+        known.clear()
+        known.learn(set().union(*split))
+        found = [list(map(known.__getitem__, words)) for words in split]
+    elif new:
         known.learn(new)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                for at, i in enumerate(ids):
+                    if i is None:
+                        ids[at] = known[words[at]]
+    return [b"".join(ids) for ids in found]
 
 
 class Packer:
