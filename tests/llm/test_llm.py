@@ -168,6 +168,17 @@ def test_near_dedup(docs, rows):
     assert len({find(i) for i in sets}) < len(sets) - 8
 
 
+def test_pairs_whose_digests_agree_by_chance_are_not_skipped(spark):
+    values = np.random.default_rng(3).integers(0, 1 << 32, (4, near_dedup.COORDINATES), dtype=np.uint64).astype("<u4")
+    values[1] = values[0]
+    values[1, 0] ^= 1 << 20  # another value, of the same low bits
+    values[2, 0], values[3, 0] = values[0, 0], values[1, 0]  # the first coordinate's lists hold others too
+    rows = [(i, 100, bytearray(v.tobytes()), bytearray(near_dedup.PARITY_BITS // 8)) for i, v in enumerate(values)]
+    classes = spark.createDataFrame(rows, "class long, n long, signature binary, parity binary")
+    mixed = near_dedup._mixed(near_dedup._lists(classes, near_dedup.MATCHES), spark.createDataFrame([], "a long, b long"))
+    assert near_dedup._pairs(mixed, near_dedup.MATCHES, near_dedup.SIMILARITY).collect() == [(1, 0)]
+
+
 def test_quality_rules(docs, rows):
     got = {r.doc_id: r for r in quality.rate(docs).collect()}
     for i, t, *_ in rows:

@@ -167,38 +167,23 @@ def _not_ruled_out(a: Column, b: Column, n: Column, similarity: float) -> Column
 
 
 def _candidate(x: str, y: str, matches: int, similarity: float) -> Column:
-    """Whether classes of the structs x and y (class, n, planes, parity, held) have to be confirmed.
+    """Whether classes of the structs x and y (class, n, planes, parity) have to be confirmed.
     Each test is cheaper than the next, and the last is rarely reached."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     sizes = (n >= m * similarity - 1e-6) & (m >= n * similarity - 1e-6)
     return sizes & (_collisions(F.col(f"{x}.planes"), F.col(f"{y}.planes")) >= matches) & _not_ruled_out(F.col(f"{x}.parity"), F.col(f"{y}.parity"), n + m, similarity)
 
 
-def _first_met(a: Column, b: Column, mine: Column, yours: Column, key: Column) -> Column:
-    """Whether no list of a lower coordinate than this one's holds both classes; mine, yours: words
-    whose bits tell the coordinates in whose lists either class is."""
-    at = F.shiftright(key, 32).cast("int")
-    out = F.lit(True)
-    for w, equal in enumerate(_equal(a, b)):
-        met = equal.bitwiseAND(F.get(mine, F.lit(w))).bitwiseAND(F.get(yours, F.lit(w)))
-        below = F.when(at >= 64 * (w + 1), F.lit(-1).cast("long")).when(at <= 64 * w, F.lit(0).cast("long")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), at - 64 * w)))
-        out = out & (met.bitwiseAND(below) == 0)
-    return out
-
-
 def _lists(classes: DataFrame, matches: int) -> DataFrame:
-    """key and c: class, n (elements), planes, parity and held (the coordinates of the class's lists), for the
-    lists that are not skipped."""
+    """key and c: class, n (elements), planes and parity, for the lists that are not skipped."""
     posted = store(_posted(classes))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # values that no other class has are the rarest; they come first in a prefix and join nothing
     own = posted.join(shared, "key").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
     length = F.size("own") - (matches - 1)
     prefix = own.filter(length > 0).select("class", F.slice("own", 1, length).alias("prefix"))
-    bit = lambda w: lambda acc, x: F.when(F.shiftright(x["key"], 38) == w, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(x["key"], 32) % 64).cast("int")))).otherwise(acc)
-    held = F.array(*[F.aggregate("prefix", F.lit(0).cast("long"), bit(w)) for w in range(_WORDS)])
-    each = prefix.join(classes.select("class", "n", _planes("signature").alias("planes"), _words_of("parity").alias("parity")), "class").withColumn("held", held)
-    return store(each.select(F.explode("prefix.key").alias("key"), F.struct("class", "n", "planes", "parity", "held").alias("c")))
+    each = prefix.join(classes.select("class", "n", _planes("signature").alias("planes"), _words_of("parity").alias("parity")), "class")
+    return store(each.select(F.explode("prefix.key").alias("key"), F.struct("class", "n", "planes", "parity").alias("c")))
 
 
 def _attached(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -218,6 +203,16 @@ def _mixed(lists: DataFrame, edges: DataFrame) -> DataFrame:
     return store(parts.join(largest, "key").select("key", "c", "component", (F.col("component") == F.col("largest")).alias("large")))
 
 
+def _pairs(mixed: DataFrame, matches: int, similarity: float) -> DataFrame:
+    """The candidates (a, b) of different components that share a list."""
+    x = mixed.filter("not large").select("key", F.col("c").alias("x"), F.col("component").alias("cx"))
+    y = mixed.select(F.col("key").alias("k"), F.col("c").alias("y"), F.col("component").alias("cy"), "large")
+    # the whole test is the join's condition, so that a pair leaves the join only as a candidate, at
+    # most once for each list; digests can't tell whether a list has met it already
+    test = (F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x.class") > F.col("y.class"))) & _candidate("x", "y", matches, similarity)
+    return x.join(y, (F.col("key") == F.col("k")) & test).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose full sets overlap enough. Only documents that the bounded
     filter lets through send their sets."""
@@ -294,12 +289,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     joined = x.join(heads, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & _candidate("x", "y", matches, similarity))
     second = _attached(joined, plain, shingle_words, similarity)
 
-    mixed = _mixed(lists, first.unionAll(second))
-    x = mixed.filter("not large").select("key", F.col("c").alias("x"), F.col("component").alias("cx"))
-    y = mixed.select(F.col("key").alias("k"), F.col("c").alias("y"), F.col("component").alias("cy"), "large")
-    # the whole test is the join's condition, so that a pair leaves the join once, and only as a candidate
-    test = (F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x.class") > F.col("y.class"))) & _first_met(F.col("x.planes"), F.col("y.planes"), F.col("x.held"), F.col("y.held"), F.col("key")) & _candidate("x", "y", matches, similarity)
-    pairs = x.join(y, (F.col("key") == F.col("k")) & test).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
+    pairs = _pairs(_mixed(lists, first.unionAll(second)), matches, similarity)
     third = confirmed(store(pairs), plain, shingle_words, similarity)
     whole = components(first.unionAll(second).unionAll(third))
 
