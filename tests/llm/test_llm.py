@@ -273,6 +273,21 @@ def test_substring_dedup(docs, rows, k, flush, monkeypatch):
     assert {r.doc_id: (r.words, r.removed, b" ".join((r.text or "").encode().split())) for r in got.collect()} == expected
 
 
+def test_super_kmers_of_more_words_than_positions_fit(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_AT_BITS", 8)
+    r, k = np.random.default_rng(9), 20
+    hashes, some = r.integers(1, 1 << 63, 300, dtype=np.uint64), r.integers(0, 300, 700)
+    ids, lengths = np.concatenate([some, r.integers(0, 300, 333), some]), np.array([700, 5, 0, 328, 700])
+    ends = np.cumsum(lengths)
+    keys = {}
+    for first, count, key in zip(*(x.tolist() for x in substring_dedup.super_kmers(ids, lengths, hashes, k)), strict=True):
+        for at in range(first, first + count):
+            assert at not in keys
+            keys[at] = key
+    assert set(keys) == {at for n, e in zip(lengths.tolist(), ends.tolist(), strict=True) for at in range(e - n, e - k + 1)}
+    assert all(keys[at] == keys[at + 1033] for at in range(700 - k + 1))
+
+
 def test_empty_tables(docs, spark):
     none = docs.limit(0)
     ranks, words = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")

@@ -63,6 +63,20 @@ def super_kmers(ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, k: int
     m = min(MINIMISER_WORDS, k)
     if len(ids) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(ids) >= 1 << _AT_BITS:  # positions would not fit: in parts whose windows follow one another
+        cut = (1 << _AT_BITS) - k
+        parts, starts = [], np.cumsum(lengths) - lengths
+        for at in range(0, len(ids) - k + 1, cut):
+            end = min(at + cut + k - 1, len(ids))
+            own = np.clip(starts + lengths, at, end) - np.clip(starts, at, end)
+            first, count, key = _of_some(ids[at:end], own, hashes, k, m)
+            parts.append((first + at, count, key))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _of_some(ids, lengths, hashes, k, m)
+
+
+def _of_some(ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``super_kmers`` of at least k words, fewer than ``_AT_BITS`` can number."""
     wh = hashes[ids]
     g = wh[: len(ids) - m + 1].copy()
     for i in range(1, m):
