@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -108,3 +109,10 @@ def test_stream(spark, tmp_path):
     assert spark.table("bad").count() == 4 and spark.table("first").count() == 10
     validate.issue_counts(stream, s, "E", "ts").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "counts")).trigger(availableNow=True).start().awaitTermination()
     assert sum(r.n for r in spark.table("counts").collect()) == 4
+
+
+@pytest.mark.parametrize("name", ["a.ttl", "b.TRIG", "c.rdf"])
+def test_rdf_formats_that_are_not_read_are_an_error(spark, tmp_path, name):
+    (tmp_path / name).write_text("@prefix x: <http://x/> .\nx:a x:b x:c , x:d .\n")
+    with pytest.raises(ValueError, match="not supported"):
+        readers.read_triples(spark, str(tmp_path))

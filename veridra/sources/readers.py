@@ -1,12 +1,13 @@
 """Readers: records of a class from files and databases.
 
-Formats that Spark reads are read by Spark, in parallel. YAML and RDF other than N-Triples and N-Quads
-are parsed by a function per file; whole files are then the unit of parallelism.
+Formats that Spark reads are read by Spark, in parallel. YAML is parsed by a function per file;
+whole files are then the unit of parallelism. Of RDF, N-Triples and N-Quads are read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -185,10 +186,17 @@ def read_yaml(spark: SparkSession, path: str | list[str], s: Schema | None = Non
 #: An N-Triples or N-Quads line: subject, predicate, object, graph.
 TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
 
+#: Names of files in RDF formats that are not read: Turtle, TriG, RDF/XML, N3, JSON-LD.
+OTHER_RDF = re.compile(r"\.(ttl|turtle|trig|rdf|owl|xml|n3|jsonld)(\.(gz|bz2|zst))?$", re.IGNORECASE)
+
 
 def read_triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """s, p, o, datatype, language, graph of N-Triples and N-Quads; other lines are left out."""
-    return parsed_triples(spark.read.text(path))
+    """s, p, o, datatype, language, graph of N-Triples and N-Quads; other lines are left out. Files
+    named as another RDF format are an error."""
+    lines = spark.read.text(path)
+    if other := [f for f in lines.inputFiles() if OTHER_RDF.search(f)]:
+        raise ValueError(f"RDF format not supported, only N-Triples and N-Quads are: {other[0]}")
+    return parsed_triples(lines)
 
 
 def parsed_triples(lines: DataFrame) -> DataFrame:
