@@ -92,13 +92,173 @@ def test_lm_scores(docs, rows, spark):
     assert 0 < first <= 1.0 + 1e-9  # the sum over all texts of one word is a part of all probability
 
 
+def log_stirling(d, n):
+    """Log of the generalised Stirling numbers: [c, t] for c customers at t tables."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(n):
+        for t in range(1, c + 2):
+            stay = out[c, t] + math.log(c - d * t) if t <= c else -np.inf
+            out[c + 1, t] = np.logaddexp(out[c, t - 1], stay)
+    return out
+
+
 def test_stirling_numbers_sum_to_rising_factorials():
-    table, d, theta = lm.log_stirling(0.3, 12), 0.3, 2.0
+    table, d, theta = log_stirling(0.3, 12), 0.3, 2.0
     for n in range(1, 13):
         total = sum(math.exp(table[n, t]) * math.prod(theta + d * k for k in range(t)) for t in range(1, n + 1))
         assert total == pytest.approx(math.prod(theta + k for k in range(n)), rel=1e-9)
 
 
+@pytest.mark.parametrize("c,others,theta,d,p", [(1, 0, 1.0, 0.5, 0.1), (2, 3, 1.0, 0.5, 0.2), (6, 4, 5.0, 0.6, 0.3), (15, 2, 50.0, 0.1, 0.4), (40, 5, 3.0, 0.4, 0.2), (200, 50, 5.0, 0.5, 0.1)])
+def test_seating_follows_its_distribution(c, others, theta, d, p):
+    n, table = 20_000, log_stirling(d, c)
+    got = lm.seat(np.full(n, c), np.full(n, others), theta, d, np.full(n, p), lm.mixed(np.arange(n, dtype=np.uint64) + np.uint64(7)), 3)
+    logs = np.array([table[c, t] + sum(math.log(theta + d * (others + j)) for j in range(t)) + t * math.log(p) for t in range(1, c + 1)])
+    exact = np.exp(logs - logs.max())
+    exact /= exact.sum()
+    mean = (exact * np.arange(1, c + 1)).sum()
+    deviation = math.sqrt((exact * (np.arange(1, c + 1) - mean) ** 2).sum())
+    assert got.mean() == pytest.approx(mean, abs=0.04 * mean) and got.std() == pytest.approx(deviation, abs=0.1 * deviation + 1e-9)
+    assert got.min() >= 1 and got.max() <= c
+
+
+def sampled(docs, buckets, owners, split, sweeps, samples):
+    """The operator's rounds without Spark: each bucket with its answers to the last questions."""
+    sent = lm._send(0, docs, buckets, split).to_pylist()
+    held = {m["bucket"]: lm.Bucket([m["pairs"]], split, owners) for m in sent}
+
+    def turned(rows, answer):
+        by_owner, by_bucket = defaultdict(list), defaultdict(list)
+        for owner, bucket, request, carry in sorted(rows):
+            by_owner[owner].append({"bucket": bucket, "request": request, "carry": carry})
+        for owner, some in by_owner.items():
+            for bucket, o, reply, carry in answer(owner, some):
+                by_bucket[bucket].append({"owner": o, "answer": reply, "carry": carry})
+        return by_bucket
+
+    answers = turned([r for n, b in held.items() for r in lm.first_questions(n, b)], lm.first_answers)
+    for k in range(1, sweeps + 1):
+        answers = turned([r for n, b in held.items() for r in lm.sweep(n, b, answers[n], k, sweeps, samples)], lambda o, m, k=k: lm.sweep_answers(o, m, k))
+    return held, answers
+
+
+def plain_sampler(tokens, d, theta, d_parent, sweeps, burn_in, seed=3):
+    """Predictive probabilities by reseating one customer after another, with explicit tables."""
+    r = random.Random(seed)
+    v = len({w for _, w in tokens})
+    tables, parent = defaultdict(list), defaultdict(list)
+    below, above = Counter(), [0, 0]  # tables of each context; customers and tables of the parent
+    sizes = Counter()
+
+    def p_parent(w):
+        n = sum(parent[w])
+        return (n - d_parent * len(parent[w]) + (lm.PARENT_STRENGTH + d_parent * above[1]) / (v + 1)) / (lm.PARENT_STRENGTH + above[0])
+
+    def pick(some, off, new):
+        x = r.random() * (sum(some) - off * len(some) + new)
+        for i, n in enumerate(some):
+            x -= n - off
+            if x < 0:
+                return i
+        return len(some)
+
+    def enter(u, w):
+        i = pick(tables[u, w], d, (theta + d * below[u]) * p_parent(w))
+        sizes[u] += 1
+        if i < len(tables[u, w]):
+            tables[u, w][i] += 1
+            return
+        tables[u, w].append(1)
+        below[u] += 1
+        j = pick(parent[w], d_parent, (lm.PARENT_STRENGTH + d_parent * above[1]) / (v + 1))
+        above[0] += 1
+        if j < len(parent[w]):
+            parent[w][j] += 1
+        else:
+            parent[w].append(1)
+            above[1] += 1
+
+    def drawn(some):
+        x = r.random() * sum(some)
+        return next(i for i, _ in enumerate(some) if sum(some[: i + 1]) > x)
+
+    def leave(u, w):
+        i = drawn(tables[u, w])
+        tables[u, w][i] -= 1
+        sizes[u] -= 1
+        if tables[u, w][i]:
+            return
+        del tables[u, w][i]
+        below[u] -= 1
+        j = drawn(parent[w])
+        parent[w][j] -= 1
+        above[0] -= 1
+        if not parent[w][j]:
+            del parent[w][j]
+            above[1] -= 1
+
+    for u, w in tokens:
+        enter(u, w)
+    total, pairs = Counter(), set(tokens)
+    for k in range(sweeps):
+        for u, w in tokens:
+            leave(u, w)
+            enter(u, w)
+        if k >= burn_in:
+            for u, w in pairs:
+                total[u, w] += (sum(tables[u, w]) - d * len(tables[u, w]) + (theta + d * below[u]) * p_parent(w)) / (theta + sizes[u])
+    return {x: n / (sweeps - burn_in) for x, n in total.items()}
+
+
+def test_sampler_agrees_with_a_plain_one():
+    r = random.Random(8)
+    texts = [" ".join(r.choice("aaaabbbccdef") for _ in range(r.randint(3, 14))) for _ in range(12)]
+    docs = [(i, True, t.encode()) for i, t in enumerate(texts)]
+    split = np.ones(1 << lm._BIN_BITS, np.int64)
+    held, answers = sampled(docs, 2, 2, split, 160, 150)
+    tokens = [x for t in texts for x in zip([None, *t.split()], [*t.split(), ""], strict=True)]
+    name = {int(h): w for w, h in ((w.decode(), lm.cut([w]).numbered()[1][0]) for w in b"a b c d e f".split())} | {lm._END: "", lm._BEGIN: None}
+    mine = {}
+    for n, b in held.items():
+        p, _, x = lm.predictive(b, answers[n])
+        mine |= {(name[int(b.context[u])], name[int(b.words[w])]): q for u, w, q in zip(b.r, b.w, p, strict=True)}
+    plain = plain_sampler(tokens, x.d, x.theta, x.d_parent, 1200, 200)
+    assert mine.keys() == plain.keys()
+    apart = [abs(math.log10(mine[k] / plain[k])) for k in plain]
+    assert sum(apart) / len(apart) < 0.015 and max(apart) < 0.06
+
+
+def test_scores_do_not_depend_on_buckets_or_splits():
+    texts = [prose(i, 30 + i, 60) for i in range(30)]
+    docs = [(i, i % 5 != 1, t.encode()) for i, t in enumerate(texts)]
+    found = []
+    for buckets, parts in ((1, 1), (5, 1), (7, 3)):
+        held, answers = sampled(docs, buckets, 1, np.full(1 << lm._BIN_BITS, parts), lm.SWEEPS, lm.SAMPLES)
+        one = {}
+        for n, b in held.items():
+            p, base, _ = lm.predictive(b, answers[n])
+            one |= {(int(b.context[u]), int(b.words[w])): (q, base[w]) for u, w, q in zip(b.r, b.w, p, strict=True)}
+        found.append(one)
+    for one in found[1:]:
+        assert one.keys() == found[0].keys() and all(one[k] == pytest.approx(found[0][k], rel=1e-9) for k in one)
+
+
+def test_lm_scores_are_the_same_under_other_partition_settings(docs, spark, monkeypatch):
+    for name, value in (("BUCKET_TOKENS", 3000), ("OWNER_TOKENS", 9000), ("FLUSH_TOKENS", 2000)):
+        monkeypatch.setattr(lm, name, value)
+    train, found = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, df in (("3", docs), ("11", docs.repartition(2))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append({r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(df, train).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys()
+    assert all(found[0][k] == pytest.approx(found[1][k], abs=1e-6) for k in found[0])
+
+
 def test_toxicity_on_held_out_documents(spark):
     r = random.Random(5)
     bad = ["scoundrel", "nitwit", "blockhead", "dunderhead", "numbskull"]
@@ -119,7 +279,7 @@ def test_toxicity_on_held_out_documents(spark):
     wrong = [s >= toxicity.THRESHOLD for s, y in held if not y]
     assert sum(caught) / len(caught) >= 0.9 and sum(wrong) / len(wrong) <= 0.05
     assert toxicity.clean(df, model).count() == sum(s < toxicity.THRESHOLD for s in got.values())
-    assert toxicity.train(df, labels.limit(0)).score(3.0) == 0.0
+    assert toxicity.train(df, labels.limit(0)).scores([b"any text"], []).tolist() == [0.0]
 
 
 def test_byte_bpe(docs, rows):
@@ -136,13 +296,18 @@ def test_byte_bpe(docs, rows):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == ids and bytes(got[i].bytes) == (t or "").encode() and got[i].ids_text == " ".join(map(str, ids))
 
 
-def test_chunks_meet_in_odd_texts(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "OVERLAP_CHARS", 8)
+@pytest.mark.parametrize("size", [20, 33])
+def test_chunks_meet_in_odd_texts(monkeypatch, size):
+    monkeypatch.setattr(byte_bpe, "OVERLAP_CHARS", 16)
     coder = byte_bpe.Coder.of(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(3)
-    for text in ["x" * 300, " " * 300, "a b" * 90, "\n\n \n" * 40, *("".join(r.choice("ab é\n\t  12's\x1c\x85\xa0　ß字!?#'") for _ in range(n)) for n in range(1, 300, 7))]:
-        parts = [dict(zip(("ends", "ids_ends", "ids"), byte_bpe._chunk_message(coder, start, own, part), strict=True), start=start, whole=whole) for start, own, whole, part in coder.chunks(text, 20)]
-        assert byte_bpe.stitch(parts) == coder.encode(text)
+    for text in ["x" * 300, " " * 300, "a b" * 90, "\n\n \n" * 40, "漢字" * 200, "\t\n" * 200, "'ll" * 70, *("".join(r.choice("ab é\n\t  12's\x1c\x85\xa0　ß字!?#'ll") for _ in range(n)) for n in range(1, 300, 2))]:
+        assert coder.encode(text, size) == coder.encode(text, 10_000)
+
+
+def test_text_without_spaces_is_not_sent_much_longer_than_it_is():
+    text = "漢" * 400_000
+    assert sum(len(chunk) for _, chunk, _ in byte_bpe.chunks(text, byte_bpe.CHUNK_CHARS)) < 1.05 * len(text)
 
 
 def test_near_dedup(docs, rows):
@@ -231,12 +396,14 @@ def test_chat(spark):
     assert (got[2].prompt_turns, got[2].chosen, got[2].rejected) == (1, "", "")
 
 
-def test_packing(docs, rows):
+def test_packing(docs, rows, spark):
     from tokenizers import Tokenizer
 
     file = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
+    odd = ["hello <|endoftext|> world", "a<|startoftext|>b. <|ENDOFTEXT|> Été", "<|x É|>", "don't stop. 3.14, U.S.A.! e\u0301 \u0308a"]
+    rows = [*rows, *((1000 + i, t) for i, t in enumerate(odd))]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in rows[-len(odd) :]], "doc_id long, text string"))
     got = packing.pack(docs, file).toPandas()
     for i, t, *_ in rows:
         ids, at = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4"), 0

@@ -1,28 +1,33 @@
 """Byte-level BPE by overlapping chunks.
 
-A text longer than a chunk is cut into chunks that run on into the next one. Each chunk is
-pre-tokenised on its own, wherever it lands in the cluster. What a pre-token is depends only on the
-characters from its start, so from the first boundary that two neighbouring chunks have in common
-they agree; there they are stitched. A chunk's run-on ends behind a place where any pre-tokenisation
-has a boundary (white space between two characters that are none), so that such a boundary exists.
-Then each pre-token is merged by rank. Decoding joins the bytes of the ids.
+Every text is cut into chunks that run on a little into the next one; a short text is one chunk. Each
+chunk is pre-tokenised on its own, those of longer texts wherever they land in the cluster. What a
+pre-token is depends only on the characters from its start, so where a boundary of one chunk is also
+one of the next, the two agree from there on: there they are stitched. Where the overlap holds no
+such place (one word that runs through it, say), pre-tokens are matched one by one from the last sure
+boundary until they meet one of the next chunk's. Then the pre-tokens are merged by rank. Decoding
+joins the bytes of the ids.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import sliced
+from veridra.llm.common import col, released, sliced
 
 CHUNK_CHARS = 16_384
-#: Characters that a chunk runs on at least.
+#: Characters of the next chunk that a chunk holds too.
 OVERLAP_CHARS = 256
-CACHE_PIECES = 200_000
+#: So many characters behind a boundary may have decided it, so one this close to a cut is not sure.
+LOOKAHEAD = 8
+#: Pre-tokens whose ids a worker remembers, each of at most so many characters: some 20 MB.
+CACHE_PIECES, CACHED_CHARS = 100_000, 48
 
 _coders: dict[tuple[str, str], "Coder"] = {}
 
@@ -40,17 +45,16 @@ class Coder(dict):
         self.encoding = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         # \s is Unicode's White_Space in the pattern's own dialect
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.safe = regex.compile(r"\P{White_Space} (?=\P{White_Space})")
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        self.text_of = {i: str(i) for i in ranks.values()}
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            self.bytes_of[i] = b
+        self.text_of = [str(i) for i in range(len(self.bytes_of))]
 
     def __missing__(self, piece: str) -> bytes:
-        import numpy as np
-
         if len(self) >= CACHE_PIECES:
             self.clear()
         ids = np.array(self.encoding.encode_ordinary(piece), "<u4").tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= CACHED_CHARS:
             self[piece] = ids
         return ids
 
@@ -60,128 +64,126 @@ class Coder(dict):
             _coders[ranks_file, pattern] = cls(ranks_file, pattern)
         return _coders[ranks_file, pattern]
 
-    def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.pieces(text)))
-
-    def run_on(self, text: str, at: int) -> int:
-        """Where a chunk ends whose successor starts at ``at``."""
-        sure = self.safe.search(text, at + OVERLAP_CHARS)
-        # the boundary behind the sure one may see the cut, so run on by a whole pre-token more
-        return len(text) if not sure else next((m.end() for m in self.safe.finditer(text, sure.end())), len(text))
-
-    def chunks(self, text: str, size: int) -> Iterator[tuple[int, int, bool, str]]:
-        """(start, start of the next chunk, whether this one runs to the end of the text, its text)."""
-        for start in range(0, max(1, len(text)), size):
-            own = start + size
-            end = len(text) if own >= len(text) else self.run_on(text, own)
-            yield start, own, end == len(text), text[start:end]
-            if own >= len(text):
-                return
-
-
-def _chunk_message(coder: Coder, start: int, own: int, text: str) -> tuple[bytes, bytes, bytes]:
-    """Ends of the pre-tokens in the text and ends of their ids, both only where a neighbour has
-    pre-tokens too, and all ids."""
-    import numpy as np
-
-    pieces = coder.pieces(text)
-    ids = [coder[p] for p in pieces]
-    ends = np.cumsum([len(p) for p in pieces], dtype="<i8") + start
-    ids_ends = np.cumsum([len(i) // 4 for i in ids], dtype="<i8")
-    told = (ends <= start + coder.run_on(text, 0)) | (ends >= own)
-    told[-2:] = True
-    return ends[told].tobytes(), ids_ends[told].tobytes(), b"".join(ids)
-
-
-def stitch(parts: list[dict]) -> bytes:
-    """The ids of a text from those of its chunks."""
-    import numpy as np
-
-    parts = sorted(parts, key=lambda p: p["start"])
-    out, at = [], 0  # the first character that is not yet covered
-    for here, after in zip(parts, [*parts[1:], None], strict=True):
-        ends = np.frombuffer(here["ends"], "<i8")
-        ids_ends = np.frombuffer(here["ids_ends"], "<i8")
-        if after is None:
-            to = int(ends[-1])
-        else:
-            there = np.concatenate([[after["start"]], np.frombuffer(after["ends"], "<i8")])
-            # the last pre-token of a chunk may be cut short, unless the text ends there
-            common = np.intersect1d(ends if here["whole"] else ends[:-1], there if after["whole"] else there[:-1], assume_unique=True)
-            common = common[common >= max(at, after["start"])]
-            if not len(common):
-                raise ValueError(f"pre-tokens of the chunks at {here['start']} and {after['start']} do not meet")
-            to = int(common[0])
-        a = 0 if at == here["start"] else int(ids_ends[np.searchsorted(ends, at)])
-        b = int(ids_ends[np.searchsorted(ends, to)]) if to > at else a
-        out.append(here["ids"][4 * a : 4 * b])
-        at = to
-    return b"".join(out)
-
-
-def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-
-def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    def boundaries(self, start: int, chunk: str, last: bool) -> np.ndarray:
+        """Ends, in the whole text, of a chunk's pre-tokens: those that no later character can move."""
+        ends = np.cumsum(np.fromiter(map(len, self.pattern.findall(chunk)), np.int64))
+        if len(chunk) != (ends[-1] if len(ends) else 0):
+            raise ValueError("the pattern leaves characters out")
+        return (ends if last else ends[ends <= len(chunk) - LOOKAHEAD]) + start
+
+    def stitched(self, text: str, parts: list[tuple[int, np.ndarray]]) -> list[int]:
+        """Ends of the text's pre-tokens from its chunks' starts and boundaries, in order."""
+        out: list[int] = []
+        at = 0  # the last sure boundary
+        for start, ends in parts:
+            if at != start and len(ends) and at < ends[-1]:
+                met = set(ends.tolist())
+                while at not in met and at < ends[-1]:
+                    at = self.pattern.match(text, at).end()
+                    out.append(at)
+            out += ends[np.searchsorted(ends, at, side="right") :].tolist()
+            at = out[-1] if out else 0
+        return out
+
+    def encoded(self, text: str, parts: list[tuple[int, np.ndarray]]) -> bytes:
+        ends = self.stitched(text, parts)
+        return b"".join([self[text[a:b]] for a, b in zip([0, *ends], ends, strict=False)])
+
+    def encode(self, text: str, size: int = CHUNK_CHARS) -> bytes:
+        """The ids of a text whose chunks are all at hand."""
+        return self.encoded(text, [(start, self.boundaries(start, chunk, last)) for start, chunk, last in chunks(text, size)])
+
+
+def chunks(text: str, size: int) -> Iterator[tuple[int, str, bool]]:
+    """Start and text of each chunk, and whether it reaches the end; the first that does is the last."""
+    for start in range(0, max(1, len(text)), size):
+        last = start + size + OVERLAP_CHARS >= len(text)
+        yield start, text[start : start + size + OVERLAP_CHARS], last
+        if last:
+            return
+
+
+def decoder(ranks_file: str, pattern: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """A function that adds to batches of doc_id and ids ``bytes``, the bytes of the ids joined, and
+    ``ids_text``, the ids in decimal joined by one space. A null ``ids`` is empty; an id that has no
+    rank is an error."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coder = Coder.of(ranks_file, pattern)
+        out, texts = [], []
+        for ids in batch.column(1):
+            ids = np.frombuffer(ids.as_py() or b"", "<u4").tolist()
+            out.append(b"".join(map(coder.bytes_of.__getitem__, ids)))
+            texts.append(" ".join(map(coder.text_of.__getitem__, ids)))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "bytes", "ids_text"])
+
+    return run
+
+
+def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "doc_id long, ids binary") -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit) for every row.
 
-    ranks_file: a tiktoken file that each worker can read. Null text is empty and has no ids; special
-    tokens are ordinary text. Repeated rows and null ids are encoded each for itself; other columns
-    are not read. An empty table gives no rows. Texts up to ``chunk_chars`` are encoded where they
-    are read; only chunks of longer ones are dealt out, and a text's ids must fit into one cell.
+    ranks_file: a tiktoken file that each worker can read. The pattern's pre-tokens cover every
+    character and are decided by what they hold and the few characters behind them. Null text is empty
+    and has no ids; special tokens are ordinary text. Repeated rows and null ids are encoded each for
+    itself; other columns are not read. An empty table gives no rows. Only chunks of texts of more
+    than one are dealt out (with ``OVERLAP_CHARS`` more characters each); a text and its ids must fit
+    into one cell. then: is given each batch of results in the worker that made it, so that what
+    follows needs no pass of its own; ``schema`` is of what it returns.
     """
-    plain = _columns(docs, id_col, text_col)
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    many = F.length("text") > chunk_chars + OVERLAP_CHARS  # two chunks or more
+
+    def finished(ids: pa.Array, encoded: list[bytes]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.binary())], names=["doc_id", "ids"])
+        return then(out) if then else out
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @released
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks_file, pattern)
         for batch in batches:
-            for some in sliced(batch, 1):
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([coder.encode(t) for t in some.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            for some in sliced(batch, 1, size=1_000_000):
+                yield finished(some.column(0), [coder.encode(t, chunk_chars) for t in some.column(1).to_pylist()])
+        coder.clear()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(ranks_file, pattern)
         for batch in batches:
-            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = list(coder.chunks(text, chunk_chars))
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(got), pa.int64()), pa.array([doc_id] * len(got), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True))], names=["row", "doc_id", "start", "own", "whole", "text"])
-
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                row, doc_id, text = (c[i].as_py() for c in batch.columns)
+                held: list[tuple] = []
+                for start, chunk, last in chunks(text, chunk_chars):
+                    held.append((row, doc_id, start, last, chunk))
+                    if last or len(held) == 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names=["row", "doc_id", "start", "last", "chunk"])
+                        held = []
+
+    @released
+    def pretokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks_file, pattern)
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                got = _chunk_message(coder, one.column(2)[0].as_py(), one.column(3)[0].as_py(), one.column(5)[0].as_py())
-                yield pa.RecordBatch.from_arrays([*one.columns[:3], one.column(4), *(pa.array([x], pa.binary()) for x in got)], names=["row", "doc_id", "start", "whole", "ends", "ids_ends", "ids"])
+            for some in sliced(batch, 4, size=1_000_000):
+                rows = some.select(["start", "last", "chunk"]).to_pylist()
+                ends = [np.diff(coder.boundaries(r["start"], r["chunk"], r["last"]), prepend=r["start"]).astype("<u4").tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([r["chunk"] if r["last"] else r["chunk"][:chunk_chars] for r in rows], pa.string()), pa.array(ends, pa.binary())], names=["row", "doc_id", "start", "chunk", "ends"])
 
     def stitched(key, parts):
-        return pa.table({"doc_id": pa.array([parts.column("doc_id")[0].as_py()], pa.int64()), "ids": pa.array([stitch(parts.select(["start", "whole", "ends", "ids_ends", "ids"]).to_pylist())], pa.binary())})
+        rows = sorted(parts.select(["start", "chunk", "ends"]).to_pylist(), key=lambda r: r["start"])
+        text = "".join(r["chunk"] for r in rows)
+        ids = Coder.of(ranks_file, pattern).encoded(text, [(r["start"], np.cumsum(np.frombuffer(r["ends"], "<u4"), dtype=np.int64) + r["start"]) for r in rows])
+        return pa.Table.from_batches([finished(parts.column("doc_id").slice(0, 1).combine_chunks().cast(pa.int64()), [ids])])
 
-    schema = "doc_id long, ids binary"
-    small = plain.filter(F.length("text") <= chunk_chars).select("doc_id", "text").mapInArrow(short, schema)
-    large = plain.filter(F.length("text") > chunk_chars)
-    parts = large.mapInArrow(split, "row long, doc_id long, start long, own long, whole boolean, text string").repartition("row", "start").mapInArrow(chunked, "row long, doc_id long, start long, whole boolean, ends binary, ids_ends binary, ids binary")
-    return small.unionByName(parts.groupBy("row").applyInArrow(stitched, schema))
+    one = plain.filter(~many).select("doc_id", "text").mapInArrow(whole, schema)
+    dealt = plain.filter(many).mapInArrow(split, "row long, doc_id long, start long, last boolean, chunk string").repartition("row", "start")
+    parts = dealt.mapInArrow(pretokenised, "row long, doc_id long, start long, chunk string, ends binary")
+    return one.unionByName(parts.groupBy("row").applyInArrow(stitched, schema))
 
 
 def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with ``bytes``, the bytes of the ids joined, and ``ids_text``, the
-    ids in decimal joined by one space. A null ``ids`` is empty; an id that has no rank is an error."""
+    """``encoded`` (doc_id, ids) with ``bytes`` and ``ids_text``; see ``decoder``."""
+    add = decoder(ranks_file, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        coder = Coder.of(ranks_file, pattern)
         for batch in batches:
-            for some in sliced(batch, 1, rows=64):
-                out, texts = [], []
-                for ids in some.column(1):
-                    ids = np.frombuffer(ids.as_py() or b"", "<u4").tolist()
-                    out.append(b"".join(map(coder.bytes_of.__getitem__, ids)))
-                    texts.append(" ".join(map(coder.text_of.__getitem__, ids)))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "bytes", "ids_text"])
+            yield from map(add, sliced(batch, 1, rows=64))
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary, ids_text string")

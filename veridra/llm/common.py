@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 #: Bytes 0x20 and 0x09 to 0x0D separate words; this is also what ``bytes.split()`` does.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -31,25 +29,67 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def col(name: str) -> Column:
+    """The column of this name, whatever characters (dots too) it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [col(c) for c in df.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary one is set.
+    Where it is unset, a temporary one is set on a single machine, as in tests; on a cluster that is
+    an error, as executors would not see each other's files.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not (spark.sparkContext.master or "").split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="veridra-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir() or made
 
 
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written to a table in the shared folder and read again: its lineage is cut, and a lost
-    executor costs no recomputation."""
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/veridra-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read again: its lineage is cut, and a lost
+    executor costs no recomputation. The table stays; see ``Scratch`` for those that don't."""
+    return _stored(df)[0]
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted at the end of the block; what the block returns
+    has to be stored outside of it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        out, path = _stored(df)
+        self.paths.append(path)
+        return out
+
+    def drop(self, most: int = 0) -> None:
+        """Deletes all tables but the ``most`` latest."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        while len(self.paths) > most:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            path.getFileSystem(conf).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
 
 def owner_of(h: np.ndarray, owners: int) -> np.ndarray:
@@ -79,17 +119,24 @@ class Bitmap:
         self.sent = spark.sparkContext.broadcast(whole.tobytes())
         return self
 
-    def column(self, h: Column) -> Column:
-        """Whether the hash may be in the set."""
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function for workers: which hashes (64-bit, signed) may be in the set."""
         sent, owners, slots = self.sent, self.owners, self.slots
 
-        @pandas_udf("boolean")
-        def held(h):
-            import pandas as pd
-
-            u = h.to_numpy().view(np.uint64)
+        def held(h: np.ndarray) -> np.ndarray:
+            u = np.ascontiguousarray(h).view(np.uint64)
             at = owner_of(u, owners).astype(np.int64) * slots + slot_of(u, slots)
-            return pd.Series((np.frombuffer(sent.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+            return (np.frombuffer(sent.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+        return held
+
+    def column(self, h: Column) -> Column:
+        """Whether the hash may be in the set."""
+        test = self.test()
+
+        @F.arrow_udf("boolean")
+        def held(h: pa.Array) -> pa.Array:
+            return pa.array(test(h.to_numpy(zero_copy_only=False)))
 
         return held(h)
 
@@ -117,18 +164,18 @@ def bitmap_of(ids: DataFrame, bits: int = FILTER_BITS) -> Bitmap:
         h = np.frombuffer(b"".join(parts.column("hashes").to_pylist()), np.uint64)
         return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed_bits(h, slots)], pa.binary())})
 
-    hashes = ids.select(F.xxhash64(F.col(ids.columns[0])).alias("h")).mapInArrow(send, "owner int, hashes binary")
+    hashes = ids.select(F.xxhash64(col(ids.columns[0])).alias("h")).mapInArrow(send, "owner int, hashes binary")
     return made.gathered(spark, hashes.groupBy("owner").applyInArrow(answer, "owner int, bits binary"))
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose key is not in the one column of ``ids``; only rows that the bounded
     filter can't clear are shuffled."""
-    held = bitmap_of(ids).column(F.xxhash64(F.col(key)))
+    held = bitmap_of(ids).column(F.xxhash64(col(key)))
     mark, name = fresh(df, "held"), fresh(df, "key")
     marked = df.withColumn(mark, held)
-    rest = marked.filter(F.col(mark)).withColumn(name, F.col(key)).join(ids.toDF(name).distinct(), name, "left_anti")
-    return marked.filter(~F.col(mark)).select(df.columns).unionByName(rest.select(df.columns))
+    rest = marked.filter(F.col(mark)).withColumn(name, col(key)).join(ids.toDF(name).distinct(), name, "left_anti")
+    return marked.filter(~F.col(mark)).select(columns(df)).unionByName(rest.select(columns(df)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,3 +216,14 @@ def trimmed() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # not this C library
         pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving back its memory at the end of a task: workers outlive tasks,
+    and those of one operator would otherwise hold theirs while the next one runs."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trimmed()
+
+    return whole

@@ -21,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import FILTER_BITS, Bitmap, fresh, owner_of, packed_bits
+from veridra.llm.common import FILTER_BITS, Bitmap, col, columns, fresh, owner_of, packed_bits, store
+
+#: A group of copies is broadcast if it holds more than one in so many of the rows that have copies.
+HOT_SHARE = 10_000
 
 
 def golomb_encode(gaps: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -89,7 +92,7 @@ def duplicates(docs: DataFrame, text_col: str, bitmap_bits: int = FILTER_BITS) -
 
 def _marked(docs: DataFrame, text_col: str, bitmap_bits: int) -> tuple[DataFrame, str, str]:
     """``docs`` with its fingerprint and whether it is a suspect. Null texts are empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     held = duplicates(docs.select(text.alias("t")), "t", bitmap_bits)
     h, s = (fresh(docs, x) for x in ("fingerprint", "suspect"))
     return docs.withColumn(h, _fingerprint(text)).withColumn(s, held.column(F.col(h))), h, s
@@ -101,19 +104,32 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     Texts are equal when their bytes are; null counts as empty. The row with the largest id stays.
     Rows repeated with id and text are one document: each is returned, with the same verdict. A null
     id is smaller than any other. Other columns are not read. An empty table gives no rows.
+
+    Rows that are no suspects are not shuffled. Of the suspects' groups, those with more than one in
+    ``HOT_SHARE`` of all grouped rows are fewer than that, so they are broadcast; what is left to the
+    join has no large group.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     marked, h, s = _marked(plain, "text", bitmap_bits)
     rows = marked.select("doc_id", F.col(h).alias("h"), F.sha2(F.col("text"), 256).alias("text_sha256"), F.col(s).alias("suspect"), "text")
-    groups = (
+    groups = store(
         rows.filter("suspect").groupBy("h", "text_sha256", "text").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
         # of texts that the bytes tell apart, no two may share both hashes, by which rows find their group
         .groupBy("h", "text_sha256").agg(F.max("last").alias("last"), F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
         .select("h", "text_sha256", "last", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")).cast("long")).alias("n"))
+        .filter("n > 1")
     )
-    joined = rows.drop("text", "suspect").join(groups, ["h", "text_sha256"], "left")
-    return joined.select(
+    grouped = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > grouped / HOT_SHARE
+    large = groups.filter(hot).withColumnsRenamed({"last": "hot_last", "n": "hot_n"})
+    found = rows.filter("suspect").drop("text", "suspect").join(F.broadcast(large), ["h", "text_sha256"], "left")
+    # rows that have their group keep it; they are dealt out by their id, to a key that no group has
+    dealt = F.when(F.col("hot_n").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    suspects = found.withColumn("key", dealt).join(groups.filter(~hot).select(F.col("h").alias("k"), F.col("text_sha256").alias("key"), "last", "n"), "key", "left")
+    alone = rows.filter(~F.col("suspect")).select("doc_id", F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("n"), "text_sha256")
+    both = alone.unionByName(suspects.select("doc_id", F.coalesce("hot_last", "last").alias("last"), F.coalesce("hot_n", "n").alias("n"), "text_sha256"))
+    return both.select(
         "doc_id",
         F.when(F.col("n").isNotNull(), F.col("last")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -123,17 +139,19 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see ``decisions``.
+    """The rows of ``docs`` that stay, with all their columns, of any name and type; see ``decisions``.
 
-    Of rows repeated with id and text one stays, that with the largest other columns. Rows that are no suspects pass through without a shuffle.
+    Of rows repeated with id and text one stays, that whose other columns are the largest as JSON.
+    Rows that are no suspects pass through without a shuffle.
     """
     marked, h, s = _marked(docs, text_col, bitmap_bits)
     text, last = fresh(marked, "text"), fresh(marked, "last")
-    alone = marked.filter(~F.col(s)).select(docs.columns)
+    alone = marked.filter(~F.col(s)).select(columns(docs))
     others = [c for c in docs.columns if c != text_col]
-    kept = (
-        marked.filter(F.col(s)).withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        .groupBy(h, text).agg(F.max(F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("null"), F.struct(*[F.col(c) for c in others]).alias("others"))).alias(last))
-        .select(*[F.when(F.col(f"{last}.null"), F.lit(None)).otherwise(F.col(text)).alias(c) if c == text_col else F.col(f"{last}.others").getField(c).alias(c) for c in docs.columns])
-    )
-    return alone.unionByName(kept)
+    # other columns by number, as names may hold anything
+    fields = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("end"))
+    rank = F.struct(col(id_col).alias("id"), col(text_col).isNull().alias("null"), F.to_json(fields).alias("others"))
+    kept = marked.filter(F.col(s)).withColumn(text, F.coalesce(col(text_col).cast("string"), F.lit(""))).groupBy(h, text).agg(F.max_by(F.struct(col(text_col).isNull().alias("null"), fields.alias("others")), rank).alias(last))
+    at = {c: i for i, c in enumerate(others)}
+    out = [F.when(F.col(f"{last}.null"), F.lit(None)).otherwise(F.col(text)).alias(c) if c == text_col else F.col(f"{last}.others.c{at[c]}").alias(c) for c in docs.columns]
+    return alone.unionByName(kept.select(out))

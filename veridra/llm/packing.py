@@ -10,19 +10,22 @@ out as shorter sequences whose lengths are powers of two, so that it needs no pa
 
 from __future__ import annotations
 
-import gc
+import json
 import os
+import re
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import sliced
+from veridra.llm.common import col, released, sliced
+from veridra.llm.words import cut
 
 #: Windows, longest first; all powers of two.
 TIERS = (4096, 2048, 1024, 512)
@@ -31,9 +34,10 @@ END_ID = 2
 STEP_TOKENS = 65_536
 #: Tokens that a task gathers before it packs them.
 BUFFER_TOKENS = 4_000_000
-#: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 1_200_000
-#: A word that ends in one of these after an ASCII letter or digit has the ids of both parts.
+#: Words whose ids a task remembers before it starts afresh: some 90 MB.
+CACHE_WORDS = 600_000
+#: A word that ends in one of these after an ASCII letter or digit has the ids of both parts, if the
+#: tokenizer cuts it there; then it is taken as two words.
 _TAILS = b".,;:!?"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
@@ -54,20 +58,42 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-
-    def learn(self, words: set[bytes]) -> None:
-        tailed = [w for w in words if w[-1] in _TAILS and w[-2:-1].isalnum()]
-        new = words.difference(tailed)
-        new.update([w[:-1] for w in tailed], [w[-1:] for w in tailed])
-        new = [w for w in new if w not in self]
-        encode = self.tokenizer.encode_batch_fast
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for w, e in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ids(" a  b\n") != ids("a") + ids("b"):
+            raise ValueError("the tokenizer does not drop white space between words")
+        cuts = lambda text: self.tokenizer.pre_tokenizer is not None and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(text)) == 2
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a word, if the tokenizer's ids tell.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        tails = bytes(c for c in _TAILS if cuts(f"a{chr(c)}") and cuts(f"1{chr(c)}"))
+        self.apart = re.compile(rb"(?<=[0-9A-Za-z])([" + re.escape(tails) + rb"])(?=[\x20\x09-\x0D]|\Z)").sub if tails else None
+
+    def learn(self, new: list[bytes]) -> None:
+        encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        other = new
+        if self.ends is not None:  # words of letters are encoded many in a text, and told apart by their ends
+            texts = list(map(bytes.decode, new))
+            lettered = [w for w, t in zip(new, texts, strict=True) if t.isalpha()]
+            other = [w for w, t in zip(new, texts, strict=True) if not t.isalpha()]
+            for at in range(0, len(lettered), 20_000):
+                some = lettered[at : at + 20_000]
+                found = encode([b" ".join(some[i : i + 200]).decode() for i in range(0, len(some), 200)])
+                ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) != len(some):
+                    other += some
+                    continue
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                    self[w] = raw[start:end]
+                    start = end
+        for at in range(0, len(other), 5000):
+            some = other[at : at + 5000]
+            for w, e in zip(some, encode([w.decode() for w in some]), strict=True):
                 self[w] = array("I", e.ids).tobytes()
-        for w in tailed:
-            self[w] = self[w[:-1]] + self[w[-1:]]
 
     @classmethod
     def of(cls, file: str) -> WordIds:
@@ -78,23 +104,23 @@ class WordIds(dict):
 
 def encode_words(texts: list[bytes | None], file: str) -> list[bytes]:
     """The ids of whole texts. The tokenizer drops white space and never joins two words, so that a
-    text's ids are those of its words one after another."""
+    text's ids are those of its words one after another. Special tokens in a text are found as the
+    tokenizer finds them, in the spelling of the text."""
     known = WordIds.of(file)
-    split = [(t or b"").lower().split() for t in texts]  # the tokenizer's own lower case follows
-    found = [list(map(known.get, words)) for words in split]  # one look at each word; None is unknown
-    new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-    if new and len(known) + len(new) > CACHE_WORDS:
+    # the tokenizer's own lower case follows; where special tokens may be, case is theirs
+    texts = [(t or b"") if t and b"<|" in t else (t or b"").lower() for t in texts]
+    words = cut([known.apart(rb" \1", t) for t in texts] if known.apart else texts)
+    number, each = words.coded()
+    each = [w[:-1] for w in each.to_pylist()]
+    if len(known) + len(each) > CACHE_WORDS:
         known.clear()
-        known.learn(set().union(*split))
-        found = [list(map(known.__getitem__, words)) for words in split]
-    elif new:
-        known.learn(new)
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                for at, i in enumerate(ids):
-                    if i is None:
-                        ids[at] = known[words[at]]
-    return [b"".join(ids) for ids in found]
+    known.learn([w for w in each if w not in known])
+    # large: the ids of a long text may be more than 2**31 bytes
+    ids = pa.array([known[w] for w in each], pa.large_binary()).take(pa.array(number))
+    _, offsets, joined = ids.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[np.cumsum([0, *words.counts])].tolist() if len(ids) else [0] * (len(texts) + 1)
+    joined = joined.to_pybytes() if joined else b""
+    return [joined[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class Packer:
@@ -190,18 +216,19 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     tokenizer: a tokenizers file whose white space is dropped, readable on each worker. A null text
     is empty: its one token is ``end_id``. A null id stays null. Repeated rows are packed each for
     itself; columns other than id and text are not read. An empty table gives no rows. Sequence and
-    step ids are unique over the table and the same when a lost task runs again.
+    step ids are unique over the table and the same when a lost task runs again. Step groups hold
+    sequences of one tier, and ``step_tokens`` tokens each but for the last of a tier in a task.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers, reverse=True):
         raise ValueError("tiers are powers of two, longest first")
     end = end_id.to_bytes(4, "little")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and the collector would go through all remembered words
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 32)
         held = 0
         for batch in batches:
-            for some in sliced(batch, 1):
+            for some in sliced(batch, 1, rows=2048):
                 for doc_id, one in zip(some.column(0).to_pylist(), encode_words(some.column(1).to_pylist(), tokenizer), strict=True):
                     packer.add(doc_id, one + end)
                     held += len(one) // 4 + 1
@@ -213,6 +240,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         packer.pack(last=True)
         if packer.rows:
             yield packer.drain()
-        gc.enable()
+        WordIds.of(tokenizer).clear()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)

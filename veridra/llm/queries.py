@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridra.llm import byte_bpe, chat, exact_dedup, language, lm, near_dedup, packing, quality, substring_dedup, toxicity
-from veridra.llm.common import WORD_BREAK, crc_mod, documents
+from veridra.llm.common import crc_mod, documents
 
 
 def _tokenizer(name: str) -> str:
@@ -43,16 +41,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = _tokenizer("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decoder(ranks, public_tokenizers.PATTERN)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         from hashlib import sha256
 
-        for batch in batches:
-            sums = [pa.array([sha256(x).hexdigest() for x in c.cast(pa.binary()).to_pylist()], pa.string()) for c in (batch.column(3), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in batch.column(1).to_pylist()], pa.int64()), *sums], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        doc_id, ids, made, shown = decoded(batch).columns
+        sums = [pa.array([sha256(x).hexdigest() for x in c.cast(pa.binary()).to_pylist()], pa.string()) for c in (shown, made)]
+        return pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) // 4 for x in ids.to_pylist()], pa.int64()), *sums], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, then=digest, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +76,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"), counts=("n_words", "n_removed"))
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), WORD_BREAK), lambda w: w != "")
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+    cut = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"), counts=("n_words", "n_removed", "kept_sha256"))
+    return cut.drop("text")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_byte_bpe, op5_near_dedup, op6_quality_rules, op7_language_id, op8_chat_formatting, op9_packing, op10_substring_dedup)}
@@ -114,7 +111,7 @@ SQL = {
         cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest([0, 1, 2]) AS u(k) GROUP BY doc_id),
         lines AS (SELECT DISTINCT host, t, trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line, x
                   FROM (SELECT host, t, unnest(ls) AS x FROM w)),
-        frequent AS (SELECT host, line FROM lines JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host) GROUP BY host, line HAVING count(DISTINCT t) > 50 AND count(DISTINCT t) > 0.02 * max(docs)),
+        frequent AS (SELECT host, line FROM lines JOIN (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host) USING (host) GROUP BY host, line HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > 0.02 * max(docs)),
         removed AS (SELECT host, t, sum(len(list_filter(string_split(line, ' '), lambda y: y <> '')) * len(list_filter(string_split(t, chr(10)), lambda z: z = x))) AS n FROM lines JOIN frequent USING (host, line) GROUP BY host, t),
         m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
                      coalesce(cover.n, 0) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS words_removed

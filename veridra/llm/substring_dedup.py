@@ -8,7 +8,7 @@ windows; it sorts them and finds those whose words also start earlier.
 
 A task sends each distinct string once, from its earliest place; it already knows the later places
 as repeats. A passage that a third of all documents share thus costs its bucket a string for each
-few thousand documents.
+few thousand documents. Minimisers are six words long, so that in ordinary prose none is frequent.
 """
 
 from __future__ import annotations
@@ -20,41 +20,23 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veridra.llm.common import WORD_BREAK, bitmap_of, fresh, partitions, sliced, store, trimmed
+from veridra.llm.common import Scratch, bitmap_of, col, columns, fresh, released, sliced, store, trimmed
+from veridra.llm.words import MIX as _MIX
+from veridra.llm.words import Words, cut
+from veridra.llm.words import mixed as _mixed
 
 WINDOW_WORDS = 20
-MINIMISER_WORDS = 3
+MINIMISER_WORDS = 6
 #: Words that a task gathers before it sends them on.
-FLUSH_WORDS = 500_000
-#: Buckets for each shuffle partition: they bound a bucket's memory, not the tasks.
-BUCKETS_PER_PARTITION = 8
+FLUSH_WORDS = 1_000_000
+#: Bytes of text for each bucket; its strings are some 3.4 times as much.
+BUCKET_BYTES = 5_000_000
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _AT_BITS = 24
 
 
-class _Words(dict):
-    """Words numbered as they come, with their 64-bit hashes in ``hashes``."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        n = self[word] = len(self.hashes)
-        self.hashes.append(xxh3_64_intdigest(word))
-        return n
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _SPREAD
-    return h ^ (h >> np.uint64(29))
-
-
 def super_kmers(ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser hash of each super-k-mer.
 
@@ -102,42 +84,39 @@ def _of_some(ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, k: int, m
 
 
 def _send(docs: list[tuple], k: int, buckets: int) -> pa.RecordBatch | None:
-    """Messages for one flush; docs: (doc_id, content, words), least doc_id first."""
-    words = _Words()
+    """Messages for one flush; docs: (doc_id, content, text), texts of k words at least."""
     docs = sorted(docs, key=lambda d: d[0])
-    lengths = np.array([len(d[2]) for d in docs], np.int64)
-    every = [w for d in docs for w in d[2]]
-    ids = np.fromiter(map(words.__getitem__, every), np.int64, len(every))
-    first, count, key = super_kmers(ids, lengths, np.array(words.hashes, np.uint64), k)
+    words = cut([d[2] for d in docs])
+    ids, hashes = words.numbered()
+    first, count, key = super_kmers(ids, words.counts, hashes, k)
     if not len(first):
         return None
-    starts = np.cumsum(lengths) - lengths
-    doc = np.searchsorted(np.cumsum(lengths), first, side="right")
+    ends = np.cumsum(words.counts)
+    doc = np.searchsorted(ends, first, side="right")
     doc_id = np.array([d[0] for d in docs], np.int64)[doc]
     content = np.array([d[1] for d in docs], np.int64)[doc]
-    start = first - starts[doc]
+    start = first - (ends - words.counts)[doc]
     bucket = (_mixed(key) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    press, rows = zstandard.ZstdCompressor(level=5), []
-    first_l, end_l = first.tolist(), (first + count + k - 1).tolist()
+    spaced, begins, stops = words.spaced.tobytes(), words.starts[first].tolist(), words.starts[first + count + k - 1].tolist()
+    press, rows = zstandard.ZstdCompressor(level=3), []
+
+    def packed(x: list[int]) -> bytes:
+        return press.compress(b"".join((doc_id[x].tobytes(), content[x].tobytes(), start[x].tobytes(), count[x].tobytes())))
+
     for some in np.split(order, cuts):
         seen: dict[bytes, int] = {}
         strings, sent, again = [], [], []
         for i in some.tolist():
-            s = b" ".join(every[first_l[i] : end_l[i]])
+            s = spaced[begins[i] : stops[i]]
             j = seen.setdefault(s, i)
             if j == i or (doc_id[j] == doc_id[i] and start[j] == start[i]):
                 strings.append(s)
                 sent.append(i)
             else:
                 again.append(i)
-
-        def packed(x: list[int]) -> bytes:
-            x = np.array(x, np.int64)
-            return press.compress(b"".join((doc_id[x].tobytes(), content[x].tobytes(), start[x].tobytes(), count[x].tobytes())))
-
-        rows.append((int(bucket[some[0]]), len(sent), packed(sent), press.compress(b" ".join(strings)), len(again), packed(again)))
+        rows.append((int(bucket[some[0]]), len(sent), packed(sent), press.compress(b"".join(strings)), len(again), packed(again)))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "n", "places", "words", "n_again", "again"])
 
 
@@ -148,20 +127,18 @@ def _places(data: bytes, n: int) -> np.ndarray:
 
 def repeated_windows(messages: list[dict], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_id, content and start of each window of a bucket that also starts earlier."""
-    words, ids, places = _Words(), [], []
-    for m in messages:
-        if m["n"]:
-            places.append(_places(m["places"], m["n"]))
-            every = zstandard.ZstdDecompressor().decompress(m["words"]).split()
-            ids.append(np.fromiter(map(words.__getitem__, every), np.int32, len(every)))
+    places = [_places(m["places"], m["n"]) for m in messages if m["n"]]
     if not places:
         return (np.zeros(0, np.int64),) * 3
     doc, content, first, count = np.concatenate(places, axis=1)
-    ids = np.concatenate(ids)
+    spaced = np.frombuffer(b"".join([zstandard.ZstdDecompressor().decompress(m["words"]) for m in messages if m["n"]]), np.uint8)
+    ids, hashes = Words(spaced, np.concatenate([[0], np.flatnonzero(spaced == 0x20) + 1]), np.zeros(0, np.int64)).numbered()
+    ids = ids.astype(np.int32)
+    del spaced
     of = np.repeat(np.arange(len(count)), count)  # the string of each window
     inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(np.cumsum(count + k - 1) - (count + k - 1), count) + inside  # its first word in ids
-    wh = np.array(words.hashes, np.uint64)[ids]
+    wh = hashes[ids]
     rolled = np.zeros(len(ids) - k + 1, np.uint64)
     for i in range(k):
         rolled = rolled * _MIX + wh[i : len(ids) - k + 1 + i]
@@ -213,27 +190,26 @@ def _ranges(doc: np.ndarray, content: np.ndarray, start: np.ndarray, count: np.n
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_WORDS) -> DataFrame:
     """doc_id, content (xxhash64 of the text), first and end: ranges of windows that also start
     earlier, in words; the words they cover are ``first`` to ``end + k - 1``, exclusive."""
-    buckets = BUCKETS_PER_PARTITION * partitions(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    # the number of buckets grows with the text, so that a bucket's share does not
+    buckets = max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET_BYTES))
+    plain = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
 
+    @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for some in sliced(batch, 2):
                 for doc_id, content, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    words = text.split()
-                    if len(words) >= k:
-                        held.append((doc_id, content, words))
-                        n += len(words)
+                    if len(text) >= 2 * k - 1:  # else too short for k words
+                        held.append((doc_id, content, text))
+                        n += len(text) // 6 + 1
                     if n >= FLUSH_WORDS:
                         if sent := _send(held, k, buckets):
                             yield sent
                         held, n = [], 0
         if held and (sent := _send(held, k, buckets)):
             yield sent
-        held = None
-        trimmed()
 
     def find(key, messages):
         rows = messages.to_pylist()
@@ -272,37 +248,68 @@ def cut_words(text: str, ranges: list[tuple[int, int]], k: int) -> tuple[str, in
     return "".join(out), n, int(gone.sum())
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_WORDS, counts: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with all its columns, its text without the words of repeated windows; with ``counts``,
-    also the number of words and of removed words under these names.
+    also the number of words, of removed words, and (if it has a third name) the SHA-256 in hex of the
+    words that stay, joined by one space.
 
     A window is a repeat if its words also start in a document of a smaller id, or earlier in the
     same one; windows are judged on the input. Null text stays null and has no words; a null id
     counts as the smallest. Rows repeated with id and text start at the same place, so neither is
-    the earlier one. A text without repeats is not changed. An empty table gives no rows.
+    the earlier one. A text without repeats is not changed. Columns may have any name and type. An
+    empty table gives no rows.
     """
-    spans = fresh(docs, "spans")
-    ranges = store(repeats(docs, id_col, text_col, k).groupBy("doc_id", "content").agg(F.collect_list(F.struct("first", "end")).alias(spans)))
+    counts = tuple(counts or ())
+    spans, doc, content = (fresh(docs, x) for x in ("spans", "id", "content"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.store(repeats(docs, id_col, text_col, k))
+        ranges = store(found.groupBy("doc_id", "content").agg(F.collect_list(F.struct("first", "end")).alias(spans)))
     held = bitmap_of(ranges.select("content"))
-    doc, content = fresh(docs, "id"), fresh(docs, "content")
-    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn(content, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    test, hashed = held.test(), fresh(docs, "hash")
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn(doc, F.coalesce(col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn(content, F.xxhash64(text))
     # only texts that the bounded filter can't clear meet their ranges in a shuffle
-    mark = fresh(docs, "held")
-    marked = keyed.withColumn(mark, held.column(F.xxhash64(content)))
-    n_words = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WORD_BREAK), lambda w: w != "")).cast("long")
-    alone = marked.filter(~F.col(mark)).select(*docs.columns, *([n_words.alias(counts[0]), F.lit(0).cast("long").alias(counts[1])] if counts else []))
-    joined = marked.filter(F.col(mark)).join(ranges.withColumnsRenamed({"doc_id": doc, "content": content}), [doc, content], "left")
+    suspects = keyed.filter(held.column(F.xxhash64(content))).join(ranges.withColumnsRenamed({"doc_id": doc, "content": content}), [doc, content], "left")
     at = docs.columns.index(text_col)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{c}` long" for c in counts or ()]
-    columns = [*docs.columns, spans]
+    kinds = [T.LongType(), T.LongType(), T.StringType()]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(counts, kinds, strict=False))])
+
+    def row(text: bytes | None, ranges: list[dict] | None) -> tuple:
+        if text is None:
+            return None, 0, 0, _sha256([])
+        if not ranges:
+            words = text.split() if counts else ()
+            return text, len(words), 0, _sha256(words) if len(counts) > 2 else None
+        out, n, gone = cut_words(text.decode(), [(r["first"], r["end"]) for r in ranges], k)
+        out = out.encode()
+        return out, n, gone, _sha256(out.split()) if len(counts) > 2 else None
+
+    def finished(rows: pa.RecordBatch, width: int, ranges: list) -> pa.RecordBatch:
+        got = [row(t, r) for t, r in zip(rows.column(at).cast(pa.binary()).to_pylist(), ranges, strict=True)]
+        made = [pa.array([g[i] for g in got], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()))]
+        texts = pa.array([g[0] for g in got], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([*(texts if i == at else c for i, c in enumerate(rows.columns[:width])), *made[: len(counts)]], names=schema.names)
+
+    width = len(docs.columns)
+
+    @released
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~test(batch.column(width).to_numpy())))
+            for some in sliced(batch, at):
+                yield finished(some, width, [None] * some.num_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @released
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in sliced(batch, at):
-                got = [cut_words(t or "", [(r["first"], r["end"]) for r in s or ()], k) for t, s in zip(some.column(at).to_pylist(), some.column(len(columns) - 1).to_pylist(), strict=True)]
-                texts = pa.array([None if t is None else g[0] for t, g in zip(some.column(at).to_pylist(), got, strict=True)], pa.string())
-                out = [texts if i == at else c for i, c in enumerate(some.columns[:-1])]
-                out += [pa.array([g[1 + i] for g in got], pa.int64()) for i in range(len(counts or ()))]
-                yield pa.RecordBatch.from_arrays(out, names=[*columns[:-1], *(counts or ())])
+                yield finished(some, width, some.column(width).to_pylist())
+
+    alone = keyed.select(*columns(docs), F.xxhash64(content).alias(hashed)).mapInArrow(clear, schema)
+    return alone.unionByName(suspects.select(*columns(docs), spans).mapInArrow(shortened, schema))
+
+
+def _sha256(words: list[bytes]) -> str:
+    from hashlib import sha256
 
-    return alone.unionByName(joined.select(columns).mapInArrow(run, ", ".join(fields)))
+    return sha256(b" ".join(words)).hexdigest()
