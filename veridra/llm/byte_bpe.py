@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import col, released, sliced
+from veridra.llm.common import col, released, sliced, small_batches
 
 CHUNK_CHARS = 16_384
 #: Characters of the next chunk that a chunk holds too.
@@ -131,6 +131,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     into one cell. then: is given each batch of results in the worker that made it, so that what
     follows needs no pass of its own; ``schema`` is of what it returns.
     """
+    small_batches(docs)
     plain = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     many = F.length("text") > chunk_chars + OVERLAP_CHARS  # two chunks or more
 

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 #: Bytes 0x20 and 0x09 to 0x0D separate words; this is also what ``bytes.split()`` does.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
+#: Bytes of a batch that is sent to a Python worker, unless one row has more. Rows hold whole texts, so
+#: Spark's own bound (64 MB, or 10,000 rows) would have each worker, and the executor too, hold far more
+#: than it works on.
+BATCH_BYTES = 4_000_000
+
 #: Bits of a bounded filter: 16 MB.
 FILTER_BITS = 1 << 27
 
@@ -38,6 +43,13 @@ def columns(df: DataFrame) -> list[Column]:
     return [col(c) for c in df.columns]
 
 
+def small_batches(df: DataFrame) -> None:
+    """Bounds the batches that the session sends to Python workers, unless the user has set a bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, "67108864b") in ("67108864b", "67108864", "64MB", "64m"):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import Scratch, col, released, sliced, store
+from veridra.llm.common import Scratch, col, released, sliced, small_batches, store
 
 #: Trigrams are hashed to so many buckets.
 BUCKETS = 1 << 14
@@ -147,6 +147,7 @@ def identify(pages: DataFrame, languages: list[str], model: np.ndarray, id_col:
     counts: Spark broadcasts them while they are few, and beyond that pages are dealt out by host and
     by ``SALTS`` parts of it, so that no host needs a task of its own.
     """
+    small_batches(pages)
     n = len(languages)
     told = likelihoods(signs(pages, languages, id_col, url_col, html_col), languages, model)
     if not n:

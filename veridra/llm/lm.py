@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import col, owner_of, released, sliced, trimmed
+from veridra.llm.common import col, owner_of, released, sliced, small_batches, trimmed
 from veridra.llm.words import MIX, cut, mixed
 
 FLUSH_TOKENS = 1_000_000
@@ -508,6 +508,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     and repeated rows are scored each for itself; other columns are not read. An empty table gives no
     rows; without training rows all words are alike.
     """
+    small_batches(docs)
     plain = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), col(text_col).cast("binary").alias("text"))
     buckets, owners, split = layout(plain, 2)
 

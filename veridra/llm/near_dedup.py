@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridra.llm.common import Scratch, bitmap_of, col, released, sliced, store, without
+from veridra.llm.common import Scratch, bitmap_of, col, released, sliced, small_batches, store, without
 from veridra.llm.words import MIX, SPREAD, cut
 
 SHINGLE_WORDS = 5
@@ -209,14 +209,17 @@ def _mixed(lists: DataFrame, edges: DataFrame, keep: Keep = store) -> DataFrame:
 
 def _pairs(mixed: DataFrame, matches: int, similarity: float) -> DataFrame:
     """The candidates (a, b) of different components that share a list."""
+    # a pair may share many lists; it is met in that of its least common key alone
+    keys = mixed.groupBy(F.col("c.class").alias("of")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    held = mixed.join(keys, F.col("c.class") == F.col("of")).drop("of")
     block = F.pmod(F.xxhash64("c.class"), F.col("blocks"))
-    x = mixed.filter("not large").select("key", block.alias("block"), F.col("c").alias("x"), F.col("component").alias("cx"))
+    x = held.filter("not large").select("key", block.cast("int").alias("block"), F.col("c").alias("x"), F.col("component").alias("cx"), F.col("keys").alias("kx"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
-    y = mixed.select(F.col("key").alias("k"), every, F.col("c").alias("y"), F.col("component").alias("cy"), "large")
-    # the whole test is the join's condition, so that a pair leaves the join only as a candidate, at
-    # most once for each list; digests can't tell whether a list has met it already
+    y = held.select(F.col("key").alias("k"), every, F.col("c").alias("y"), F.col("component").alias("cy"), "large", F.col("keys").alias("ky"))
+    # the whole test is the join's condition, so that a pair leaves the join only as a candidate
     test = (F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x.class") > F.col("y.class"))) & _candidate("x", "y", matches, similarity)
-    return x.join(y, (F.col("key") == F.col("k")) & (F.col("block") == F.col("b")) & test).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
+    first = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
+    return x.join(y, (F.col("key") == F.col("k")) & (F.col("block") == F.col("b")) & test & first).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, similarity: float, keep: Keep = store) -> DataFrame:
@@ -281,6 +284,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     An empty table gives no rows. With a lower similarity, lower ``matches`` too: a pair at that
     similarity must share so many of the 64 coordinates.
     """
+    small_batches(docs)
     plain = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("binary").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         keep = scratch.store

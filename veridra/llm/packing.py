@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import col, released, sliced
+from veridra.llm.common import col, released, sliced, small_batches
 from veridra.llm.words import cut
 
 #: Windows, longest first; all powers of two.
@@ -221,6 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers, reverse=True):
         raise ValueError("tiers are powers of two, longest first")
+    small_batches(docs)
     end = end_id.to_bytes(4, "little")
 
     @released

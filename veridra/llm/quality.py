@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import Scratch, col, columns, fresh, released, sliced, store
+from veridra.llm.common import Scratch, col, columns, fresh, released, sliced, small_batches, store
 from veridra.llm.words import cut
 
 #: A line is removed if more distinct documents of its host hold it than the larger of these two.
@@ -141,6 +141,7 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     are rated each for itself. Other columns are not read; an empty table gives no rows. A document
     is kept if its own measures pass and at least ``least_left`` of its words are left.
     """
+    small_batches(docs)
     with Scratch(docs.sparkSession) as scratch:
         read = scratch.store(_read(docs, id_col, text_col, host_col))
         frequent = scratch.store(frequent_lines(read, limit_docs, limit_share)).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -158,6 +159,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     repeated rows are each for itself. An empty table stays empty.
     """
     text, host = F.coalesce(col(text_col).cast("string"), F.lit("")), F.coalesce(col(host_col).cast("string"), F.lit(""))
+    small_batches(docs)
     with Scratch(docs.sparkSession) as scratch:
         read = scratch.store(_read(docs, id_col, text_col, host_col).select("host", "c1", "c2", "lines"))
         frequent = frequent_lines(read, limit_docs, limit_share)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridra.llm.common import Scratch, bitmap_of, col, columns, fresh, released, sliced, store, trimmed
+from veridra.llm.common import Scratch, bitmap_of, col, columns, fresh, released, sliced, small_batches, store, trimmed
 from veridra.llm.words import MIX as _MIX
 from veridra.llm.words import Words, cut
 from veridra.llm.words import mixed as _mixed
@@ -30,7 +30,7 @@ from veridra.llm.words import mixed as _mixed
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 6
 #: Words that a task gathers before it sends them on.
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 600_000
 #: Bytes of text for each bucket; its strings are some 3.4 times as much.
 BUCKET_BYTES = 5_000_000
 
@@ -260,6 +260,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     empty table gives no rows.
     """
     counts = tuple(counts or ())
+    small_batches(docs)
     spans, doc, content = (fresh(docs, x) for x in ("spans", "id", "content"))
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.store(repeats(docs, id_col, text_col, k))

@@ -3,7 +3,7 @@
 Zstandard dictionaries are trained in pairs of one size, one on windows of toxic text and one on as
 many windows of ordinary text. A window's distance is the number of bytes by which the toxic
 dictionary shortens it more than the ordinary one. A small dictionary holds only some of the prose of
-its windows, by chance, which is noise; so each distance is the mean of several pairs (``PAIRS``),
+its windows, by chance, which is noise; so each distance is the mean of several pairs,
 trained on random parts.
 
 Most windows of a toxic text are ordinary. Therefore there are rounds: the first is trained on all
@@ -30,15 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import col, released, sliced
+from veridra.llm.common import col, released, sliced, small_batches
 
 WINDOW_WORDS = 6
 #: Size of a dictionary, and of the segments it is made of.
 DICTIONARY_BYTES, SEGMENT, MATCH = 8192, 24, 6
 LEVEL = 3
-#: Pairs of dictionaries in a round, the share of the windows that each is trained on, and rounds.
-PAIRS, PART, ROUNDS = 4, 0.6, 5
-HARDEST, SEARCHED = 0.05, 0.2
+#: Pairs of dictionaries in the first round, which sees all windows, and in each later one; the share of
+#: the windows that each is trained on.
+FIRST_PAIRS, PAIRS, PART, ROUNDS = 3, 4, 0.6, 5
+HARDEST, SEARCHED = 0.05, 0.15
 FOLDS = 3
 #: A document is taken for toxic from this score on.
 THRESHOLD = 0.3
@@ -86,7 +87,7 @@ def _gains(some: list[bytes], pairs: list[tuple]) -> np.ndarray:
     out = np.zeros(len(some))
     for ordinary, toxic in pairs:
         out += np.fromiter(map(len, map(ordinary, some)), np.int64, len(some)) - np.fromiter(map(len, map(toxic, some)), np.int64, len(some))
-    return out / PAIRS
+    return out / len(pairs)
 
 
 def _searched(d: np.ndarray) -> np.ndarray:
@@ -187,11 +188,11 @@ def _trained(samples: list[bytes]) -> bytes:
         return (b"".join(dict.fromkeys(samples)) or b" " * 8)[-DICTIONARY_BYTES:].ljust(8)
 
 
-def _round(toxic: list[list[bytes]], ordinary: list[list[bytes]], draw: random.Random) -> list[tuple[bytes, bytes]]:
+def _round(toxic: list[list[bytes]], ordinary: list[list[bytes]], draw: random.Random, pairs: int) -> list[tuple[bytes, bytes]]:
     """Pairs (ordinary, toxic) trained on windows, given for each document."""
     t, o = ([w for some in x for w in some] for x in (toxic, ordinary))
     out = []
-    for _ in range(PAIRS):
+    for _ in range(pairs):
         n = max(1, int(min(len(t), len(o)) * PART)) if t and o else 0
         out.append((_trained(draw.sample(o, n)), _trained(draw.sample(t, n))))
     return out
@@ -214,9 +215,10 @@ def fit(rows: list[tuple[bytes, int]], weight: tuple[float, float] = (1.0, 1.0))
     far = [[np.zeros(0)] * len(some) for some in cut]  # sums over rounds, of the windows ``at``
     chosen, rounds = cut, []
     for number in range(ROUNDS):
+        many = PAIRS if number else FIRST_PAIRS
         for fold in range(FOLDS):
             apart = [[some[i] for i in np.flatnonzero(f != fold)] for some, f in zip(chosen, folds, strict=True)]
-            held = [(_compressor(a), _compressor(b)) for a, b in _round(apart[1], apart[0], draw)]
+            held = [(_compressor(a), _compressor(b)) for a, b in _round(apart[1], apart[0], draw, many)]
             for label in (0, 1):
                 mine = np.flatnonzero(folds[label] == fold).tolist()
                 looked = [cut[label][i] if not number else [cut[label][i][j] for j in at[label][i]] for i in mine]
@@ -228,7 +230,7 @@ def fit(rows: list[tuple[bytes, int]], weight: tuple[float, float] = (1.0, 1.0))
                     else:
                         first[label][i], at[label][i] = d, _searched(d)
                         far[label][i] = d[at[label][i]]
-        rounds.append(_round(chosen[1], chosen[0], draw))
+        rounds.append(_round(chosen[1], chosen[0], draw, many))
         hardest = lambda w, x, d: [w[x[j]] for j in np.argsort(-d, kind="stable")[: max(1, int(np.ceil(len(w) * HARDEST)))]]
         chosen = [[hardest(*y) for y in zip(cut[label], at[label], far[label], strict=True)] for label in (0, 1)]
     model = Model(rounds)
@@ -282,6 +284,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 got = model.scores([t or b"" for t in some.column(1).to_pylist()], compressors)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
+    small_batches(docs)
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("binary")).mapInArrow(run, "doc_id long, score double")
 
 
@@ -292,6 +295,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     Columns may have any name and type. An empty table stays empty.
     """
     at, schema = docs.columns.index(text_col), docs.schema
+    small_batches(docs)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
