@@ -21,8 +21,9 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: than it works on.
 BATCH_BYTES = 4_000_000
 
-#: Bits of a bounded filter: 16 MB.
+#: Bits of a bounded filter, at most: 16 MB. Few rows need fewer, so many for each.
 FILTER_BITS = 1 << 27
+BITS_PER_ROW = 64
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -153,6 +154,11 @@ class Bitmap:
         return held(h)
 
 
+def bits_for(df: DataFrame, most: int) -> int:
+    """Bits of a filter for the rows of ``df``."""
+    return min(most, max(1 << 16, BITS_PER_ROW * df.count()))
+
+
 def packed_bits(h: np.ndarray, slots: int) -> bytes:
     bits = np.zeros(slots, bool)
     bits[slot_of(h, slots)] = True
@@ -162,7 +168,7 @@ def packed_bits(h: np.ndarray, slots: int) -> bytes:
 def bitmap_of(ids: DataFrame, bits: int = FILTER_BITS) -> Bitmap:
     """The hashes (xxhash64) of the one column of ``ids``."""
     spark = ids.sparkSession
-    made = Bitmap(spark, bits)
+    made = Bitmap(spark, bits_for(ids, bits))
     owners, slots = made.owners, made.slots
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import FILTER_BITS, Bitmap, col, columns, fresh, owner_of, packed_bits, store
+from veridra.llm.common import FILTER_BITS, Bitmap, bits_for, col, columns, fresh, owner_of, packed_bits, store
 
 #: A group of copies is broadcast if it holds more than one in so many of the rows that have copies.
 HOT_SHARE = 10_000
@@ -58,7 +58,7 @@ def _fingerprint(text) -> F.Column:
 def duplicates(docs: DataFrame, text_col: str, bitmap_bits: int = FILTER_BITS) -> Bitmap:
     """The owners' bitmaps of the fingerprints that occur more than once."""
     spark = docs.sparkSession
-    made = Bitmap(spark, bitmap_bits)
+    made = Bitmap(spark, bits_for(docs, bitmap_bits))
     owners, slots = made.owners, made.slots
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
