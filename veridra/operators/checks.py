@@ -446,8 +446,11 @@ def masked(c: Column, keep: int = 4) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(F.substr(c, F.lit(1), n), r"\p{L}", "x"), r"\d", "0"), F.substr(c, n + 1))
 
 
-#: What text meant as a query for another system may hold.
-SUSPICIOUS = (r"(?i)\bunion\b.+\bselect\b", r"(?i);\s*(drop|delete|update|insert)\b", r"(?i)\bor\b\s+'?\d+'?\s*=\s*'?\d+'?", r"--\s*$", r"(?i)<script\b", r"\$\{.*\}", r"(?i)__schema\b")
+#: What text meant as a query for another system may hold.
+SUSPICIOUS = (
+    r"(?i)\bunion\b.+\bselect\b", r"(?i)\binsert\s+into\b", r"(?i)\bdelete\s+from\b", r"(?i)\bupdate\b.+\bset\b", r"(?i)\bdrop\s+(table|database|schema)\b", r"(?i);\s*(drop|delete|update|insert)\b",
+    r"(?i)\bor\b\s+'?\d+'?\s*=\s*'?\d+'?", r"--\s*$", r"/\*.*\*/", r"(?i)<script\b", r"\$\{.*\}", r"(?i)__schema\b",
+)
 
 
 def suspicious(c: Column) -> Column:

@@ -25,14 +25,15 @@ ENUM_VALUES, ENUM_COVER = 20, 0.8
 INTEGER, FLOAT = r"^[+-]?\d+$", r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"
 DATETIME, DATE, TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}:\d{2}(:\d{2})?$"
 URI, EMAIL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://\S+$", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
-BOOLEAN_TEXTS = ("true", "false", "yes", "no", "1", "0")
+BOOLEAN_TEXTS, BITS = ("true", "false", "yes", "no"), ("1", "0")
 
 
 def type_of(c: Column) -> Column:
-    """The type of a text; "unknown" if it is empty."""
+    """The type of a text; "unknown" if it is empty, "bit" if it is 0 or 1, which stand for booleans
+    among booleans and for integers among all else."""
     t = F.trim(c)
     return (
-        F.when(c.isNull() | (t == ""), "unknown").when(F.lower(t).isin(*BOOLEAN_TEXTS), "boolean").when(t.rlike(INTEGER), "integer").when(t.rlike(FLOAT), "float")
+        F.when(c.isNull() | (t == ""), "unknown").when(t.isin(*BITS), "bit").when(F.lower(t).isin(*BOOLEAN_TEXTS), "boolean").when(t.rlike(INTEGER), "integer").when(t.rlike(FLOAT), "float")
         .when(t.rlike(DATETIME), "datetime").when(t.rlike(DATE), "date").when(t.rlike(TIME), "time").when(t.rlike(URI), "uri").when(t.rlike(EMAIL), "email").otherwise("string")
     )
 
@@ -43,12 +44,22 @@ def common_type(a: str, b: str) -> str:
     if a == "unknown":
         return b
     pair = {a, b}
+    if "bit" in pair:  # "bit" and "boolean" is "boolean", and "bit" by itself stays open
+        other = (pair - {"bit"}).pop()
+        return other if other in ("boolean", "integer", "float") else "string"
     return "float" if pair == {"integer", "float"} else "datetime" if pair in ({"datetime", "date"}, {"datetime", "time"}) else "string"
 
 
+def without_bits(types: Column) -> Column:
+    """A set of types with what its bits stand for."""
+    known = F.array_distinct(types)
+    sure = F.size(F.array_except(known, F.array(F.lit("bit"), F.lit("boolean"), F.lit("unknown")))) > 0
+    return F.array_distinct(F.transform(known, lambda t: F.when(t != "bit", t).when(sure, "integer").otherwise("boolean")))
+
+
 def common_type_column(types: Column) -> Column:
     """The common type of a set of types, whatever their order: a fold over sorted names."""
-    known = F.filter(F.array_distinct(types), lambda t: t != "unknown")
+    known = F.filter(without_bits(types), lambda t: t != "unknown")
     fits = lambda *names: F.size(F.array_except(known, F.array(*map(F.lit, names)))) == 0
     return F.when(F.size(known) == 0, "unknown").when(F.size(known) == 1, F.get(known, F.lit(0))).when(fits("integer", "float"), "float").when(fits("datetime", "date") | fits("datetime", "time"), "datetime").otherwise("string")
 
@@ -61,7 +72,11 @@ def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def type_votes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, type and its number of votes; empty cells don't vote."""
-    return cells(df, columns).select("column", type_of(F.col("text")).alias("type")).filter("type <> 'unknown'").groupBy("column", "type").agg(F.count(F.lit(1)).alias("votes"))
+    counted = cells(df, columns).select("column", type_of(F.col("text")).alias("type")).filter("type <> 'unknown'").groupBy("column", "type").agg(F.count(F.lit(1)).alias("votes"))
+    # at most a row for each column and type
+    every = F.collect_set("type").over(Window.partitionBy("column"))
+    stands = F.when(F.col("type") != "bit", F.col("type")).when(F.size(F.array_except(every, F.array(F.lit("bit"), F.lit("boolean")))) > 0, "integer").otherwise("boolean")
+    return counted.select("column", stands.alias("type"), "votes").groupBy("column", "type").agg(F.sum("votes").alias("votes"))
 
 
 def majority(votes: DataFrame) -> DataFrame:
@@ -89,7 +104,7 @@ def columns_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     )
     few = each.filter(full).join(profile.filter((F.col("distinct") >= 2) & (F.col("distinct") <= ENUM_VALUES)).select("column"), "column", "left_semi").groupBy("column").agg(F.array_sort(F.collect_list("text")).alias("values"))
     out = profile.join(few, "column", "left")
-    return out.select("column", "rows", "non_empty", (F.col("rows") == F.col("non_empty")).alias("required"), "types", common_type_column(F.col("types")).alias("type"), "minimum", "maximum", "distinct", F.when(F.col("covered") >= F.col("rows") * ENUM_COVER, F.col("values")).alias("values"))
+    return out.select("column", "rows", "non_empty", (F.col("rows") == F.col("non_empty")).alias("required"), without_bits(F.col("types")).alias("types"), common_type_column(F.col("types")).alias("type"), "minimum", "maximum", "distinct", F.when(F.col("covered") >= F.col("rows") * ENUM_COVER, F.col("values")).alias("values"))
 
 
 def samples(df: DataFrame, column: str, k: int = SAMPLES) -> DataFrame:

@@ -6,6 +6,8 @@ counted with map-side aggregation before anything is gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +54,19 @@ def later_occurrences(df: DataFrame, columns: list[str], order: list[Column | st
     Keys that occur once are sorted out first, by counts with map-side aggregation, so that only true
     duplicates are ranked.
     """
+    return _ranked(df, columns, order, nulls_equal, lambda rank: rank > 1)
+
+
+def _ranked(df: DataFrame, columns: list[str], order: list[Column | str], nulls_equal: bool, wanted: Callable[[Column], Column]) -> DataFrame:
+    """The rows of keys that occur more than once whose rank among their key's is wanted."""
     n = duplicates(df, columns, nulls_equal).drop("n")
     same = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in columns]
     found = df.alias("a").join(n.alias("b"), same, "left_semi")
-    rank = F.row_number().over(Window.partitionBy(*columns).orderBy(*order))
-    return found.withColumn("__rank", rank).filter("__rank > 1").drop("__rank")
+    name = "__rank"
+    while name in df.columns:
+        name = f"_{name}"
+    rank = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in columns]).orderBy(*order))
+    return found.withColumn(name, rank).filter(wanted(F.col(name))).drop(name)
 
 
 def already_known(new: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,6 +75,9 @@ def already_known(new: DataFrame, known: DataFrame, columns: list[str]) -> DataF
 
 
 def drop_later(df: DataFrame, columns: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key; rows with a NULL part stay."""
-    rank = F.row_number().over(Window.partitionBy(*columns).orderBy(*order))
-    return df.withColumn("__rank", F.when(_present(columns, False), rank).otherwise(1)).filter("__rank = 1").drop("__rank")
+    """The first row of each key; rows with a NULL part stay. Only keys that occur more than once are
+    ranked, so neither the others nor rows without a key meet in a task."""
+    n = duplicates(df, columns).drop("n")
+    same = [F.col(f"a.`{c}`") == F.col(f"b.`{c}`") for c in columns]
+    alone = df.alias("a").join(n.alias("b"), same, "left_anti")
+    return alone.unionByName(_ranked(df, columns, order, False, lambda rank: rank == 1))

@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridra.functions.expressions import Compiler, evaluate, where
-from veridra.operators import arrays, checks, migrate, profile, references, rules, unique
+from veridra.functions.expressions import Compiler, evaluate
+from veridra.operators import arrays, checks, migrate, profile, references, rules, tables, unique
 from veridra.operators.checks import Capture
 from veridra.plans import ddl, engine, model, resolve
 from veridra.sources import readers, writers
+from veridra.streaming import validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,9 +123,12 @@ def v_issues_orders(spark, sf_dir):
     return found.select("o_orderkey", F.regexp_replace("path", r"^\$\.?", "").alias("slot"), "code", "severity")
 
 
-@query("SELECT event_type, count(*) FILTER (WHERE value > 300) AS missing FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS missing FROM events WHERE value > 300 GROUP BY event_type")
 def v_required(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.count_if(F.col("value").isNull()).alias("missing"))
+    s = model.schema({"classes": {"Event": {"attributes": {"event_type": {}, "value": {"range": "float", "required": True}}}}})
+    df = _events(spark, sf_dir).select("event_type", "value")
+    found = engine.check_frame(df, s, "Event").violations(df, ["event_type"]).filter("code = 'required' and path = '$.value'")
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("missing"))
 
 
 @query("""SELECT c_custkey, CASE WHEN regexp_matches(x, '^\\s*[+-]?\\d+\\s*$') THEN TRUE ELSE FALSE END AS is_int, TRY_CAST(x AS DOUBLE) IS NOT NULL AS is_float, lower(x) IN ('true', 'false') AS is_bool, regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:[^\\s]+$') AS is_uri
@@ -194,14 +198,17 @@ def v_conditional(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity > 1500 AS too_dear FROM lineitem WHERE l_extendedprice / l_quantity > 1500")
 def v_slot_expression(spark, sf_dir):
+    """A rule of a slot, which sees the record and the slot's own value."""
+    s = model.schema({"classes": {"Line": {"attributes": {"l_extendedprice": {"range": "float", "rules": ["{value} / {l_quantity} <= 1500"]}}}}})
     df = table(spark, sf_dir, "lineitem")
-    return where(df, "{l_extendedprice} / {l_quantity} > 1500").select("l_orderkey", "l_linenumber", "l_partkey", F.lit(True).alias("too_dear"))
+    found = engine.check_frame(df, s, "Line", engine.Options(ignore=tuple(df.columns))).violations(df, ["l_orderkey", "l_linenumber", "l_partkey"]).filter("code = 'slot_rule'")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.lit(True).alias("too_dear"))
 
 
-@query("SELECT p_partkey, regexp_full_match(p_name, '[^ ]+ r.*') AS glob, regexp_matches(p_name, p_brand || '|red') AS partial FROM part")
+@query("SELECT p_partkey, p_name LIKE '% r%' AS glob, regexp_matches(p_name, p_brand || '|red') AS partial FROM part")
 def v_structured_pattern(spark, sf_dir):
     df = table(spark, sf_dir, "part")
-    glob = F.col("p_name").rlike(checks.full_pattern("* r*", "glob", False)) & F.col("p_name").rlike(r"^[^ ]+ r.*$")
+    glob = checks.structured_match(F.col("p_name"), model.StructuredPattern("* r*", "glob", False, False), _compiler(df))
     sp = model.StructuredPattern("{p_brand}|red", "regex", True, True)
     return df.select("p_partkey", glob.alias("glob"), checks.structured_match(F.col("p_name"), sp, _compiler(df)).alias("partial"))
 
@@ -352,15 +359,13 @@ def f_custom(spark, sf_dir):
 
 @query("""SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 6) AS a, median(l_quantity) AS med, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 6) AS va, count(DISTINCT l_suppkey) AS u FROM lineitem GROUP BY l_returnflag""")
 def a_group_stats(spark, sf_dir):
-    q = "l_quantity"
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(q), 2).alias("s"), F.round(F.avg(q), 6).alias("a"), F.median(q).alias("med"), F.round(F.stddev_samp(q), 6).alias("sd"), F.round(F.var_samp(q), 6).alias("va"), F.count_distinct("l_suppkey").alias("u"))
+    found = tables.group_statistics(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_suppkey")
+    return found.select("l_returnflag", "n", F.round("total", 2).alias("s"), F.round("mean", 6).alias("a"), F.col("median").alias("med"), F.round("stddev", 6).alias("sd"), F.round("variance", 6).alias("va"), F.col("distinct").alias("u"))
 
 
 @query("WITH c AS (SELECT c_mktsegment AS g, c_nationkey AS v, count(*) AS n FROM customer GROUP BY 1, 2) SELECT g, v, n FROM c QUALIFY rank() OVER (PARTITION BY g ORDER BY n DESC) = 1")
 def a_mode_ties(spark, sf_dir):
-    n = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("g"), F.col("c_nationkey").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    most = n.groupBy("g").agg(F.max("n").alias("most"))
-    return n.join(most, "g").filter("n = most").select("g", "v", "n")
+    return tables.most_frequent(table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey").select(F.col("group").alias("g"), F.col("value").alias("v"), "n")
 
 
 @query("""SELECT o_custkey, round(list_sum(x), 2) AS s, round(list_avg(x), 6) AS a, CAST(len(x) AS BIGINT) AS n, median AS med, CASE WHEN len(x) > 1 THEN round(sd, 6) END AS sd, CASE WHEN len(x) > 1 THEN round(va / 1000000, 4) END AS va, mode AS mo, CAST(len(list_distinct(st)) AS BIGINT) AS u
@@ -385,10 +390,11 @@ def a_group_by(spark, sf_dir):
     return grouped.select("o_custkey", "status", F.size("rows").cast("long").alias("n"))
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_discount > 0.05 GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query(f"SELECT code AS validator, severity, CAST(sum(n) AS BIGINT) AS n FROM ({_LINE_SQL}) GROUP BY ROLLUP (code, severity)")
 def a_rollup(spark, sf_dir):
-    """Counts with subtotals (an extension)."""
-    return table(spark, sf_dir, "lineitem").filter("l_discount > 0.05").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    """Issues by validator and severity, with subtotals (an extension)."""
+    df = table(spark, sf_dir, "lineitem")
+    return engine.rollup_report(engine.check_frame(df, LINE_ITEM, "Line").violations(df, ["l_orderkey"]))
 
 
 # -- unique keys and references -----------------------------------------------------------------------------------
@@ -464,17 +470,17 @@ def j_subjects(spark, sf_dir):
     return references.subjects(triples, kind).select("s", "type", F.col("values")["segment"].alias("segment"), F.col("values")["name"].alias("name"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS child, CAST(p_partkey // 2 AS BIGINT) AS parent FROM part WHERE p_partkey > 1 AND p_partkey <= 200),
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS child, CAST(p_partkey // 2 AS BIGINT) AS parent FROM part WHERE p_partkey > 1),
     c AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT c.child, e.parent, c.depth + 1 FROM c JOIN e ON e.child = c.ancestor) SELECT child, least(max(depth), 6) AS depth FROM c GROUP BY child HAVING max(depth) > 5""")
 def j_depth(spark, sf_dir):
-    edges = table(spark, sf_dir, "part").filter("p_partkey > 1 and p_partkey <= 200").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+    edges = table(spark, sf_dir, "part").filter("p_partkey > 1").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
     return references.too_deep(edges, 5).filter("not circular").select("child", "depth")
 
 
 # -- profiles -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT 'k' AS "column", CASE WHEN lower(x) IN ('true', 'false', 'yes', 'no', '1', '0') THEN 'boolean' WHEN regexp_matches(x, '^[+-]?[0-9]+$') THEN 'integer' ELSE 'string' END AS type, count(*) AS votes
+@query("""SELECT 'k' AS "column", CASE WHEN lower(x) IN ('true', 'false', 'yes', 'no') THEN 'boolean' WHEN regexp_matches(x, '^[+-]?[0-9]+$') THEN 'integer' ELSE 'string' END AS type, count(*) AS votes
     FROM (SELECT json_extract_string(props, '$.k') AS x FROM events) WHERE x IS NOT NULL GROUP BY 2""")
 def p_type_votes(spark, sf_dir):
     return profile.type_votes(table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("k")))
@@ -482,7 +488,7 @@ def p_type_votes(spark, sf_dir):
 
 @query("""SELECT 'o_orderpriority' AS "column", count(*) AS rows, count(*) AS non_empty, TRUE AS required, 'string' AS type, count(DISTINCT o_orderpriority) AS "distinct", list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS values FROM orders
     UNION ALL SELECT 'o_orderstatus', count(*), count(*), TRUE, 'string', count(DISTINCT o_orderstatus), list(DISTINCT o_orderstatus ORDER BY o_orderstatus) FROM orders
-    UNION ALL SELECT 'o_custkey', count(*), count(*), TRUE, CASE WHEN min(o_custkey) <= 1 THEN 'string' ELSE 'integer' END, count(DISTINCT o_custkey), NULL FROM orders""")
+    UNION ALL SELECT 'o_custkey', count(*), count(*), TRUE, 'integer', count(DISTINCT o_custkey), NULL FROM orders""")
 def p_columns(spark, sf_dir):
     df = profile.columns_profile(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus", "o_custkey"])
     return df.select("column", "rows", "non_empty", "required", "type", "distinct", "values")
@@ -588,12 +594,13 @@ def m_integrity(spark, sf_dir):
 def s_union(spark, sf_dir):
     a = migrate.rename(table(spark, sf_dir, "customer"), {"c_nationkey": "nation", "c_acctbal": "balance", "c_mktsegment": "segment"}).select(F.lit("customer").alias("source"), "nation", "balance", "segment")
     b = migrate.rename(table(spark, sf_dir, "supplier"), {"s_nationkey": "nation", "s_acctbal": "balance"}).select(F.lit("supplier").alias("source"), "nation", "balance")
-    return a.unionByName(b, allowMissingColumns=True)
+    return tables.union(a, b)
 
 
 @query("SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def s_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).exceptAll(table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_nationkey")).join(table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("nation")), "nation", "left_anti").distinct()
+    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("nation"))
+    return tables.difference(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), suppliers)
 
 
 _PREFIXES = model.schema({"prefixes": {"h": "https://", "p": "http://", "blog": "https://blog."}})
@@ -639,10 +646,10 @@ def l_map_limit(spark, sf_dir):
     return writers.selected(df, writers.Options(mapping={"o_orderkey": "id", "o_orderstatus": "status"}, limit=50))
 
 
-@query("SELECT vec_id, array_to_string(list_transform(embedding[1:3], lambda x: CAST(round(x * 1000) AS INT)), ';') AS cell FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INT)), ';') AS cell FROM embeddings")
 def d_cells(spark, sf_dir):
     """Many values in one text cell, as a delimited file holds them."""
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x * 1000).cast("int")).alias("cell"))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("cell"))
     return writers.csv_columns(df).select(F.col("vec_id").cast("long").alias("vec_id"), "cell")
 
 
@@ -665,8 +672,5 @@ def l_triples(spark, sf_dir):
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 300 GROUP BY 1")
 def t_hourly_issues(spark, sf_dir):
     """Issues by hour of event time; the same plan runs on a stream (an extension)."""
-    df = _events(spark, sf_dir)
-    found = engine.check_frame(df, LINE_ITEM, "Event").violations(df, ["ts"]).filter("code = 'conditional_required'")
-    return found.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
-
-
+    counts = validate.issue_counts(_events(spark, sf_dir), LINE_ITEM, "Event", "ts")
+    return counts.filter("code = 'conditional_required'").select("start", "n")

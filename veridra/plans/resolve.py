@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veridra.plans import model
 from veridra.plans.model import Class, Schema, Slot
+from veridra.plans.shared import Scratch, store
 
 
 class SchemaError(ValueError):
@@ -186,19 +187,23 @@ def edge_frame(spark: SparkSession, s: Schema) -> DataFrame:
 
 
 def closure(edge: DataFrame, max_depth: int = 100) -> DataFrame:
-    """child, ancestor and least depth for every chain of (child, parent) edges.
+    """child, ancestor and least depth for every chain of (child, parent) edges, up to a depth.
 
-    One join and one aggregation a step; it ends when a step adds nothing, so cycles do no harm.
+    Chains double in length in each step, so there are as many steps as the logarithm of the depth;
+    each is stored in the shared folder. It ends when a step adds no pair, so cycles do no harm.
     """
-    step = edge.select("child", F.col("parent").alias("ancestor")).distinct()
-    known = step.withColumn("depth", F.lit(1))
-    fresh = known
-    for depth in range(2, max_depth + 1):
-        fresh = fresh.join(step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("child", F.col("next").alias("ancestor")).distinct().join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
-    return known
+    with Scratch(edge.sparkSession) as scratch:
+        known = scratch.store(edge.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+        n, reach = known.count(), 1
+        while n and reach < max_depth:
+            further = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+            longer = known.join(further, "ancestor").select("child", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).filter(F.col("depth") <= max_depth)
+            known = scratch.store(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+            scratch.drop(most=1)
+            before, n, reach = n, known.count(), 2 * reach
+            if n == before:
+                break
+        return store(known)
 
 
 def merged_imports(s: Schema, read: Callable[[str], Schema], seen: frozenset[str] = frozenset()) -> Schema:

@@ -39,6 +39,8 @@ class Options:
     row_tag: str | None = None
     #: JSON with an object a line, whose files can be split, rather than one document a file.
     lines: bool = False
+    #: Delimited text whose quoted cells hold line ends; such files can't be split.
+    multi_line: bool = False
 
 
 def spark_type(s: Schema, slot: Slot, depth: int = 3) -> T.DataType:
@@ -64,6 +66,13 @@ def _limited(df: DataFrame, o: Options) -> DataFrame:
     return df.limit(o.limit) if o.limit is not None else df
 
 
+def rejected_rows(spark: SparkSession, path: str | list[str], s: Schema, options: Options | None = None, kind: str = "csv") -> int:
+    """The number of rows that ``skip_invalid`` leaves out of delimited text."""
+    o = replace(options or Options(), limit=None)
+    read_ = {"csv": read_csv, "tsv": read_tsv}[kind]
+    return read_(spark, path, s, replace(o, skip_invalid=False)).count() - read_(spark, path, s, replace(o, skip_invalid=True)).count()
+
+
 def _typed(df: DataFrame, s: Schema | None, o: Options) -> DataFrame:
     """Text cells as values of the class's slots; empty cells are NULL, many values are split."""
     df = df.withColumnsRenamed(o.mapping)
@@ -95,7 +104,7 @@ def _typed(df: DataFrame, s: Schema | None, o: Options) -> DataFrame:
 def read_csv(spark: SparkSession, path: str | list[str], s: Schema | None = None, options: Options | None = None) -> DataFrame:
     """Rows under a header, all columns as text, then as the class's types."""
     o = options or Options()
-    r = spark.read.option("header", True).option("sep", o.delimiter).option("quote", o.quote).option("escape", o.quote).option("encoding", o.encoding).option("mode", "PERMISSIVE").option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    r = spark.read.option("header", True).option("sep", o.delimiter).option("quote", o.quote).option("escape", o.quote).option("encoding", o.encoding).option("mode", "PERMISSIVE").option("multiLine", o.multi_line).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     if o.comment:
         r = r.option("comment", o.comment)
     header = r.csv(path).columns
@@ -214,6 +223,12 @@ def parsed_triples(lines: DataFrame) -> DataFrame:
     )
 
 
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """One row, rejected: the lines that are no triple, nor blank, nor a comment."""
+    bad = ~F.col("value").rlike(TRIPLE) & ~F.col("value").rlike(r"^\s*(#.*)?$")
+    return lines.agg(F.count_if(bad).alias("rejected"))
+
+
 def skolemised(triples: DataFrame, base: str) -> DataFrame:
     """Blank nodes as addresses under ``base``, by a hash of their label."""
     name = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit(base), F.substr(F.sha2(F.col(c), 256), F.lit(1), F.lit(32)))).otherwise(F.col(c))
