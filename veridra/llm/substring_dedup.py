@@ -30,9 +30,9 @@ from veridra.llm.words import mixed as _mixed
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 6
 #: Words that a task gathers before it sends them on.
-FLUSH_WORDS = 600_000
+FLUSH_WORDS = 500_000
 #: Bytes of text for each bucket; its strings are some 3.4 times as much.
-BUCKET_BYTES = 2_000_000
+BUCKET_BYTES = 1_000_000
 
 _AT_BITS = 24
 
