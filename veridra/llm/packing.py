@@ -34,8 +34,8 @@ END_ID = 2
 STEP_TOKENS = 65_536
 #: Tokens that a task gathers before it packs them.
 BUFFER_TOKENS = 2_000_000
-#: Words whose ids a task remembers before it starts afresh: some 30 MB.
-CACHE_WORDS = 150_000
+#: Words whose ids a task remembers before it starts afresh: some 60 MB.
+CACHE_WORDS = 300_000
 #: A word that ends in one of these after an ASCII letter or digit has the ids of both parts, if the
 #: tokenizer cuts it there; then it is taken as two words.
 _TAILS = b".,;:!?"
