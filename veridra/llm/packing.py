@@ -34,8 +34,8 @@ END_ID = 2
 STEP_TOKENS = 65_536
 #: Tokens that a task gathers before it packs them.
 BUFFER_TOKENS = 2_000_000
-#: Words whose ids a task remembers before it starts afresh: some 60 MB.
-CACHE_WORDS = 300_000
+#: Words whose ids a task remembers before it starts afresh: some 80 MB.
+CACHE_WORDS = 400_000
 #: A word that ends in one of these after an ASCII letter or digit has the ids of both parts, if the
 #: tokenizer cuts it there; then it is taken as two words.
 _TAILS = b".,;:!?"
@@ -229,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 32)
         held = 0
         for batch in batches:
-            for some in sliced(batch, 1, rows=2048, size=2_000_000):
+            for some in sliced(batch, 1, rows=2048):
                 for doc_id, one in zip(some.column(0).to_pylist(), encode_words(some.column(1).to_pylist(), tokenizer), strict=True):
                     packer.add(doc_id, one + end)
                     held += len(one) // 4 + 1
