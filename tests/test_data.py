@@ -116,3 +116,17 @@ def test_rdf_formats_that_are_not_read_are_an_error(spark, tmp_path, name):
     (tmp_path / name).write_text("@prefix x: <http://x/> .\nx:a x:b x:c , x:d .\n")
     with pytest.raises(ValueError, match="not supported"):
         readers.read_triples(spark, str(tmp_path))
+
+
+def test_cells_of_vectors_are_those_of_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from veridra.plans import queries
+
+    ties = [0.31949999928474426, -0.13349999487400055, -0.27649998664855957, 0.0005, -0.0, 2147483.0]
+    rows = [(1, ties), (2, [1.5, None, 2.0]), (3, [None, None]), (4, []), (5, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in queries.d_cells(spark, str(tmp_path)).collect())
+    assert found == sorted(con.execute(queries.SQL["d_cells"]).fetchall())
+    assert found == [(1, "320;-134;-277;1;0;2147483008"), (2, "1500;2000"), (3, None), (4, ""), (5, None)]

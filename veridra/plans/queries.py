@@ -648,8 +648,11 @@ def l_map_limit(spark, sf_dir):
 
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INT)), ';') AS cell FROM embeddings")
 def d_cells(spark, sf_dir):
-    """Many values in one text cell, as a delimited file holds them."""
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("cell"))
+    """Many values in one text cell, as a delimited file holds them. As in the SQL, the product is a float
+    (with an integer, Spark makes it a double), and a vector of nothing but nulls has no cell."""
+    values = F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("int"))
+    some = (F.size("embedding") == 0) | F.exists("embedding", lambda x: x.isNotNull())
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.when(some, values).alias("cell"))
     return writers.csv_columns(df).select(F.col("vec_id").cast("long").alias("vec_id"), "cell")
 
 
